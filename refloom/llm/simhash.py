@@ -91,7 +91,6 @@ def close_links(fps: DataFrame, most_in_block: int = MOST_IN_BLOCK) -> DataFrame
         .where((F.col("u") > F.col("v")) & (_distance("u", "v") <= 2))
         .select("u", "v")
     )
-    one_off = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.expr("shiftleft(1L, i)")))
     one_off = F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))")
     near = (
         met.where(F.col("n") > most_in_block)
