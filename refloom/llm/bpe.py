@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from refloom.session import ship
 
 #: Pre-tokens that a worker remembers; then it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
 #: Longer pre-tokens aren't remembered.
 LONGEST_REMEMBERED = 64
 _MASK = (1 << 64) - 1
@@ -32,12 +32,12 @@ _MASK = (1 << 64) - 1
 class PerfectHash:
     """A minimal perfect hash of distinct byte strings: as many slots as strings, none shared.
 
-    Strings are dealt into buckets of about four by a 64-bit hash. From the fullest bucket on, a
+    Strings are dealt into buckets of about two by a 64-bit hash. From the fullest bucket on, a
     displacement is searched that sends its strings to free slots; a string alone in its bucket gets
     a free slot outright, written as -1 - slot.
     """
 
-    def __init__(self, keys: list[bytes], per_bucket: int = 4):
+    def __init__(self, keys: list[bytes], per_bucket: int = 2):
         self.n = len(keys)
         self.buckets = max(1, self.n // per_bucket)
         self.shift = np.zeros(self.buckets, np.int64)

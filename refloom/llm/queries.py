@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from refloom.llm.bpe import encoded, public_vocabulary
 from refloom.llm.common import table
+from refloom.llm.decontam import contamination
+from refloom.llm.secrets import found_secrets
 from refloom.llm.simhash import near_duplicate_classes
+from refloom.llm.toxicity import fit, scored
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +23,49 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_simhash": op2_simhash}
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside passages of benchmark items."""
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return found_secrets(table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; the lexicon is fitted on the labelled rows that aren't held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 5
+    lexicon = fit(docs, labels.where(fold != 0))
+    return scored(docs, lexicon).select(
+        "doc_id",
+        (fold == 0).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
+    )
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, and what they decode to, as digests."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encoded(docs, public_vocabulary(spark), keep_ids=False)
+
+
+QUERIES = {
+    "op2_simhash": op2_simhash,
+    "op5_decontamination": op5_decontamination,
+    "op6_secrets": op6_secrets,
+    "op7_toxicity": op7_toxicity,
+    "op9_bpe": op9_bpe,
+}
 
-ORACLE = {}
+ORACLE: dict[str, str] = {}

@@ -34,6 +34,8 @@ SENSITIVE = re.compile(
     r"passw|secret|token|api.?key|private.?key|access.?key|credential|bearer|authorization|signing.?key|client.?id",
     re.IGNORECASE | re.ASCII,
 )
+#: A text with none of these, lower-cased, has no sensitive context.
+_SENSITIVE_WORDS = ("passw", "secret", "token", "key", "credential", "bearer", "authorization", "client")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 BEFORE, AROUND = 48, 256
 #: Compressed bytes that a character of a secret adds at least.
@@ -101,6 +103,9 @@ def _mixed(s: str) -> bool:
 def _contexts(text: str) -> list[tuple[int, int]]:
     """Stretches in which a candidate may begin, after a sensitive word; no two overlap."""
     out: list[tuple[int, int]] = []
+    low = text.lower()
+    if not any(w in low for w in _SENSITIVE_WORDS):
+        return out
     for m in SENSITIVE.finditer(text):
         a, b = m.end(), m.end() + BEFORE
         while b < len(text) and b - m.end() < 16 * PIECE and not text[b].isspace():
