@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from refloom.llm.bpe import encoded, public_vocabulary
 from refloom.llm.common import table
 from refloom.llm.decontam import contamination
+from refloom.llm.quality import fit as fit_quality
+from refloom.llm.quality import judged
 from refloom.llm.secrets import found_secrets
 from refloom.llm.simhash import near_duplicate_classes
 from refloom.llm.toxicity import fit, scored
@@ -23,6 +25,14 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, likelihood ratio and verdict of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = judged(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return found.select("doc_id", *counts, "base_failed", "kept", F.round("score", 4).alias("score"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside passages of benchmark items."""
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -62,6 +72,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_simhash": op2_simhash,
+    "op4_quality": op4_quality,
     "op5_decontamination": op5_decontamination,
     "op6_secrets": op6_secrets,
     "op7_toxicity": op7_toxicity,
