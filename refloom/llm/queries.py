@@ -13,6 +13,23 @@ from refloom.llm.quality import judged
 from refloom.llm.secrets import found_secrets
 from refloom.llm.simhash import near_duplicate_classes
 from refloom.llm.toxicity import fit, scored
+from refloom.llm.urls import judged_urls
+from refloom.llm.warc import archive_folder, read_archives, with_referred, write_archives
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record, from archives that were written and read again."""
+    to = archive_folder(spark)
+    write_archives(table(spark, sf_dir, "pages"), to)
+    found = with_referred(read_archives(spark, to))
+    page = F.regexp_extract("refers_to", r"<urn:page:(.*)>", 1)
+    return found.select(
+        F.col("key").cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        F.col("type").alias("record_type"),
+        F.when(F.col("type") == "revisit", page).cast("long").alias("refers_to"),
+    )
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +81,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page."""
+    found = judged_urls(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "host", "path", "rule", "verdict", "template", F.round("purity", 6).alias("purity"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, and what they decode to, as digests."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -71,11 +94,13 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_simhash": op2_simhash,
     "op4_quality": op4_quality,
     "op5_decontamination": op5_decontamination,
     "op6_secrets": op6_secrets,
     "op7_toxicity": op7_toxicity,
+    "op8_urls": op8_urls,
     "op9_bpe": op9_bpe,
 }
 
