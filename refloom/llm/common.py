@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,3 +36,17 @@ def sized(side: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
 def without(docs: DataFrame, losers: DataFrame, key: str) -> DataFrame:
     """docs without the rows whose key is in losers (a written table)."""
     return docs.join(sized(losers.select(key)), key, "left_anti")
+
+
+def least_places(hashes: np.ndarray, span: int) -> np.ndarray:
+    """For each span of consecutive hashes the place of the smallest one, the rightmost of equals. Spans
+    double in length, so there are as many passes as the length has bits."""
+    if len(hashes) < span:
+        return np.zeros(0, np.int64)
+    at, size = np.arange(len(hashes)), 1
+    while size < span:
+        step = min(size, span - size)  # the last two spans overlap
+        left, right = at[:-step], at[step:]
+        at = np.where(hashes[right] <= hashes[left], right, left)
+        size += step
+    return at

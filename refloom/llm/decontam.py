@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from refloom.llm.common import with_row_key
+from refloom.llm.common import least_places, with_row_key
 from refloom.session import ship, written
 
 GRAM = 10
@@ -63,19 +63,6 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
-def least_places(grams: np.ndarray, span: int) -> np.ndarray:
-    """For each span of consecutive hashes the place of the smallest one, the rightmost of equals."""
-    if len(grams) < span:
-        return np.zeros(0, np.int64)
-    best, at = grams[span - 1 :].copy(), np.arange(span - 1, len(grams))
-    for i in range(span - 2, -1, -1):  # from right to left: only a smaller hash takes over
-        other = grams[i : i + len(best)]
-        less = other < best
-        best[less] = other[less]
-        at[less] = np.flatnonzero(less) + i
-    return at
-
-
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64))
 

@@ -12,6 +12,7 @@ from refloom.llm.quality import fit as fit_quality
 from refloom.llm.quality import judged
 from refloom.llm.secrets import found_secrets
 from refloom.llm.simhash import near_duplicate_classes
+from refloom.llm.substrings import repeat_digests
 from refloom.llm.toxicity import fit, scored
 from refloom.llm.urls import judged_urls
 from refloom.llm.warc import archive_folder, read_archives, with_referred, write_archives
@@ -42,6 +43,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that stay when spans of smaller documents are removed."""
+    return repeat_digests(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, likelihood ratio and verdict of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -96,6 +102,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_simhash": op2_simhash,
+    "op3_substrings": op3_substrings,
     "op4_quality": op4_quality,
     "op5_decontamination": op5_decontamination,
     "op6_secrets": op6_secrets,
