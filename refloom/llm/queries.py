@@ -11,11 +11,13 @@ from refloom.llm.decontam import contamination
 from refloom.llm.quality import fit as fit_quality
 from refloom.llm.quality import judged
 from refloom.llm.secrets import found_secrets
+from refloom.llm.rollups import Rollup, counted, deletes, inserts, revisions
 from refloom.llm.simhash import near_duplicate_classes
 from refloom.llm.substrings import repeat_digests
 from refloom.llm.toxicity import fit, scored
 from refloom.llm.urls import judged_urls
 from refloom.llm.warc import archive_folder, read_archives, with_referred, write_archives
+from refloom.session import scratch
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,6 +101,22 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(docs, public_vocabulary(spark), keep_ids=False)
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals by source, language and tokenizer version after four batches: all documents come, counted by
+    one tokenizer; they come as counted by a second one; those of low quality leave; toxic ones move from
+    the first tokenizer to the second's counts. The second batch is sent twice."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    marks = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    low, toxic = (docs.join(marks.where(x), "doc_id", "left_semi") for x in ("quality = 0", "quality != 0 AND toxic = 1"))
+    store = Rollup(spark, scratch(spark, "rollup"))
+    store.commit("load", inserts(counted(docs, "space-1")))
+    for _ in range(2):
+        store.commit("load-2", inserts(counted(docs, "letter-2")))
+    store.commit("junk", deletes(counted(low, "space-1").union(counted(low, "letter-2"))))
+    store.commit("revised", revisions(counted(toxic, "space-1"), counted(toxic, "letter-2")))
+    return store.totals()
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_simhash": op2_simhash,
@@ -109,6 +127,25 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op8_urls": op8_urls,
     "op9_bpe": op9_bpe,
+    "op10_token_counts": op10_token_counts,
 }
 
-ORACLE: dict[str, str] = {}
+_WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
+_LETTERS = r"len(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[0-9]+|[^\x00-\x7F]+'))"
+
+ORACLE: dict[str, str] = {
+    "op10_token_counts": f"""
+        WITH marks AS (SELECT doc_id, min(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+        counts AS (
+            SELECT d.doc_id, source, lang, {_WORDS} AS words, {_LETTERS} AS letters, quality, toxic
+            FROM documents d LEFT JOIN marks m ON d.doc_id = m.doc_id),
+        changes AS (
+            SELECT source, lang, 'space-1' AS version, 1 AS docs, words AS tokens FROM counts
+            UNION ALL SELECT source, lang, 'letter-2', 1, letters FROM counts
+            UNION ALL SELECT source, lang, 'space-1', -1, -words FROM counts WHERE quality = 0
+            UNION ALL SELECT source, lang, 'letter-2', -1, -letters FROM counts WHERE quality = 0
+            UNION ALL SELECT source, lang, 'space-1', -1, -words FROM counts WHERE quality != 0 AND toxic = 1
+            UNION ALL SELECT source, lang, 'letter-2', 1, letters FROM counts WHERE quality != 0 AND toxic = 1)
+        SELECT source, lang, version, CAST(sum(docs) AS BIGINT) AS docs, CAST(sum(tokens) AS BIGINT) AS tokens
+        FROM changes GROUP BY source, lang, version HAVING sum(docs) != 0 OR sum(tokens) != 0""",
+}

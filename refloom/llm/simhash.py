@@ -109,8 +109,8 @@ def close_links(fps: DataFrame, most_in_block: int = MOST_IN_BLOCK) -> DataFrame
 def near_duplicate_classes(
     docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 3, most_in_block: int = MOST_IN_BLOCK
 ) -> DataFrame:
-    """(id, _rk, fp, component): the fingerprint of every row of docs, and the smallest id that it
-    reaches over fingerprints differing in two or fewer bits.
+    """(id, _rk, fp, root, component): the fingerprint of every row of docs, and the smallest fingerprint
+    and id that it reaches over fingerprints differing in two or fewer bits.
 
     Null texts count as empty. Rows with a null id belong to classes, but a class is named by its
     smallest id that isn't null (null if it has none). Repeated rows are returned as often as they
@@ -124,7 +124,7 @@ def near_duplicate_classes(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
     named = linked.groupBy("root").agg(F.min("least").alias("component"))
-    return rows.join(linked.join(named, "root").select("fp", "component"), "fp")
+    return rows.join(linked.join(named, "root").select("fp", "root", "component"), "fp")
 
 
 def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
@@ -132,10 +132,8 @@ def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text", width:
     equal ids by the hash of the row), of equal rows one."""
     classes = written(near_duplicate_classes(docs, id, text, width), "classes")
     rank = F.struct(F.col(id).isNull().alias("a"), F.col(id).alias("b"), F.col("_rk").alias("c"))
-    # a class of rows without any id is held together by its fingerprint
-    name = F.struct(F.col("component"), F.when(F.col("component").isNull(), F.col("fp")).alias("fp"))
-    best = classes.groupBy(name.alias("name")).agg(F.min(rank)["c"].alias("best"))
-    beside = classes.withColumn("name", name).join(best, F.col("name").eqNullSafe(best["name"])).drop(best["name"])
+    best = classes.groupBy("root").agg(F.min(rank)["c"].alias("best"))
+    beside = classes.join(best, "root")
     losers = written(beside.where("_rk != best").select("_rk").distinct(), "losers")
     kept = without(with_row_key(docs, id, text), losers, "_rk")
     if classes.groupBy("_rk").count().where("count > 1").limit(1).count():
