@@ -10,7 +10,7 @@ from refloom.llm.common import table, with_row_key, without
 from refloom.llm.decontam import contamination
 from refloom.llm.quality import fit, judged
 from refloom.llm.secrets import redacted
-from refloom.llm.simhash import deduplicated
+from refloom.llm.similar import without_near_duplicates
 from refloom.session import written
 
 
@@ -21,8 +21,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates (words in fives, as SimHash sees them) one document stays."""
-    return deduplicated(docs, width=5)
+    """Of each class of near duplicates one document stays: close fingerprints (SimHash of words in fives),
+    or a share of 0.8 of such shingles."""
+    return without_near_duplicates(docs, width=5)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
