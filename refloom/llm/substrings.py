@@ -211,8 +211,9 @@ def _found(own: DataFrame, pieces: DataFrame, id: str, text: str, window: int) -
     )
     heads = written(heads.where("a != b").select("minimizer", "branches"), "minimizers")
     shared = written(p.join(sized(heads), "minimizer"), "shared")
-    contents = shared.groupBy("content").agg(F.min("id").alias("first"), F.max("id").alias("last"))
-    shared = written(shared.join(contents.where("first IS NOT NULL"), "content"), "occurrences")
+    # written, so that the join deals both sides anew and a content of many copies can be split
+    contents = written(shared.groupBy("content").agg(F.min("id").alias("first"), F.max("id").alias("last")), "contents")
+    shared = written(shared.join(contents, "content"), "occurrences")
     whole = shared.where("first != last").select("_rk", "id", F.col("content").alias("edge"), "start", "windows").distinct()
 
     split = shared.where("branches AND id = first").groupBy("_rk", "id")
