@@ -17,7 +17,7 @@ from refloom.llm.substrings import repeat_digests
 from refloom.llm.toxicity import fit, scored
 from refloom.llm.urls import judged_urls
 from refloom.llm.warc import archive_folder, read_archives, with_referred, write_archives
-from refloom.session import scratch
+from refloom.session import scratch, written
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,13 +107,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     the first tokenizer to the second's counts. The second batch is sent twice."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     marks = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    low, toxic = (docs.join(marks.where(x), "doc_id", "left_semi") for x in ("quality = 0", "quality != 0 AND toxic = 1"))
+    counts = written(counted(docs, "space-1", "letter-2"), "counts")
+    first, second = (counts.where(F.col("version") == v) for v in ("space-1", "letter-2"))
+    marked = written(counts.join(marks, F.col("id") == F.col("doc_id")).drop("doc_id"), "marked")
+    toxic = marked.where("quality != 0 AND toxic = 1")
     store = Rollup(spark, scratch(spark, "rollup"))
-    store.commit("load", inserts(counted(docs, "space-1")))
+    store.commit("load", inserts(first))
     for _ in range(2):
-        store.commit("load-2", inserts(counted(docs, "letter-2")))
-    store.commit("junk", deletes(counted(low, "space-1").union(counted(low, "letter-2"))))
-    store.commit("revised", revisions(counted(toxic, "space-1"), counted(toxic, "letter-2")))
+        store.commit("load-2", inserts(second))
+    store.commit("junk", deletes(marked.where("quality = 0")))
+    store.commit("revised", revisions(toxic.where("version = 'space-1'"), toxic.where("version = 'letter-2'")))
     return store.totals()
 
 
