@@ -193,7 +193,7 @@ def contamination(
     short = sorted(r[0] for r in bench.where(F.col("size") < GRAM).select("size").distinct().collect())  # 9 at most
     grams = bench.select("gram").distinct()
     few = grams.limit(sent_grams + 1).count() <= sent_grams
-    wanted = np.sort(grams.toPandas()["gram"].to_numpy(np.int64).view(np.uint64)) if few else None
+    wanted = np.sort(grams.toArrow()["gram"].to_numpy().view(np.uint64)) if few else None
     own = with_row_key(docs.select(id, text), id, text)
     found = written(_document_windows(own.select("_rk", text), text, short, wanted), "candidates")
     counts = found.where("gram IS NULL").select("_rk", "n_words").distinct()
