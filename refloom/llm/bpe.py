@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 
 from refloom.session import ship
 
-#: Pre-tokens that a worker remembers; then it starts anew.
-REMEMBERED = 1_000_000
+#: Pre-tokens that a worker remembers (some 40 MB); then it starts anew.
+REMEMBERED = 200_000
 #: Longer pre-tokens aren't remembered.
 LONGEST_REMEMBERED = 64
 _MASK = (1 << 64) - 1

@@ -50,3 +50,10 @@ def least_places(hashes: np.ndarray, span: int) -> np.ndarray:
         at = np.where(hashes[right] <= hashes[left], right, left)
         size += step
     return at
+
+
+def parts(batches, rows: int = 256):
+    """Arrow batches in smaller ones, so that what a task derives from a batch stays small."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)

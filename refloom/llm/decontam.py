@@ -27,8 +27,8 @@ SPAN = GRAM - K + 1
 SENT_GRAMS = 2_000_000
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-#: Word hashes that a worker remembers; then it starts anew.
-REMEMBERED = 500_000
+#: Word hashes that a worker remembers (some 30 MB); then it starts anew.
+REMEMBERED = 200_000
 
 
 class _Hashes(dict):

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refloom.llm.common import sized, with_row_key, without
+from refloom.llm.common import parts, sized, with_row_key, without
 from refloom.llm.components import connected_components
 from refloom.llm.simhash import near_duplicate_classes
 from refloom.session import ship, written
@@ -55,7 +55,7 @@ def _signs(docs: DataFrame, text: str, width: int) -> DataFrame:
     """(_rk, whole, bands): a hash of the whole shingle set, and the keys."""
 
     def run(batches):
-        for b in batches:
+        for b in parts(batches):
             own = [shingles(x.as_py(), width) for x in b.column(text)]
             whole = pa.array([xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) for s in own], pa.int64())
             keys = pa.array(list(map(bands, own)), pa.list_(pa.int64()))
@@ -69,7 +69,7 @@ def _sets(docs: DataFrame, text: str, width: int) -> DataFrame:
     """(_rk, own, bands): the whole shingle sets, and the keys of the longer bands of those marked crowded."""
 
     def run(batches):
-        for b in batches:
+        for b in parts(batches):
             own = [shingles(x.as_py(), width) for x in b.column(text)]
             crowded = b.column("crowded").to_pylist()
             keys = [bands(s, FINE_BANDS, FINE_ROWS) if c else [] for s, c in zip(own, crowded, strict=True)]

@@ -34,8 +34,8 @@ WINDOW = 50
 K = 12
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-#: Word hashes that a worker remembers; then it starts anew.
-REMEMBERED = 500_000
+#: Word hashes that a worker remembers (some 30 MB); then it starts anew.
+REMEMBERED = 200_000
 
 
 class _Hashes(dict):
