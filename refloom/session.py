@@ -45,9 +45,16 @@ def hadoop_path(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
+#: Rows of an Arrow batch where the session has Spark's default; long texts would make those batches large.
+ARROW_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once, wherever the driver imported it from."""
-    sc = spark.sparkContext
+    """Send this package to the executors once, wherever the driver imported it from, and keep the batches
+    that Python workers get small."""
+    sc, rows = spark.sparkContext, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, ARROW_ROWS)
     if getattr(sc, "_refloom_shipped", False):
         return
     to = Path(tempfile.mkdtemp(prefix="refloom-")) / "refloom.zip"
