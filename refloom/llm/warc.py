@@ -27,7 +27,7 @@ MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
 #: Payloads of fewer bytes are always written out.
 LEAST_SHARED = 0
-#: A header is looked for in so many bytes of a piece.
+#: The first bytes of a piece that are sent to look for a header; the whole piece if it doesn't end in them.
 MOST_HEADER = 1 << 16
 MOST_ROUNDS = 64
 RECORD = "file string, at bigint, id string, type string, uri string, date string, key string, payload binary, payload_digest string, refers_to string"
@@ -145,7 +145,7 @@ def _fields(head: bytes) -> dict[str, str]:
 
 def _length(value: bytes) -> int | None:
     """Bytes from the end of the magic to the next record, by the header; null without a valid one."""
-    end = value.find(END.encode(), 0, MOST_HEADER)
+    end = value.find(END.encode())
     if end < 0:
         return None
     size = _fields(value[:end]).get("content-length", "")
@@ -183,9 +183,9 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(list(map(pa.array, columns, types)), ["file", "block", "rel", "n", "length"])
 
     ship(spark)
-    head = _pieces(spark, path).select(
-        "file", "block", F.octet_length("value").alias("n"), F.substring("value", 1, MOST_HEADER + len(END)).alias("head")
-    )
+    first = F.substring("value", 1, MOST_HEADER)
+    head = F.when(F.contains(first, F.lit(END.encode())), first).otherwise(F.col("value")).alias("head")
+    head = _pieces(spark, path).select("file", "block", F.octet_length("value").alias("n"), head)
     found = written(head.mapInArrow(run, "file string, block bigint, rel bigint, n bigint, length bigint"), "candidates")
     base = written(_bases(found), "blocks")
     at = F.col("base") + F.col("rel") - len(MAGIC)
