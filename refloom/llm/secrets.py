@@ -4,13 +4,18 @@ Novelty: in a context that speaks of credentials, every long unbroken string is
 zstandard, once as what follows the text around it and once left out. The dictionary is a list of code
 identifiers and the text on both sides. The bytes that the string adds, for each of its characters,
 are its novelty: words, repeats and identifiers of the surroundings cost next to nothing, random keys
-nearly all their entropy.
+nearly all their entropy. Huffman tables need some length to pay: a shorter string is asked for a fixed
+novelty, a longer one for that share of its alphabet's entropy. A string without a digit isn't a key if most
+of its letter pairs are those of words. Key lines that follow a key, and all of a PEM body, are keys too.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from bisect import bisect_right
+from itertools import pairwise
 
 import pyarrow as pa
 import zstandard
@@ -37,9 +42,31 @@ SENSITIVE = re.compile(
 #: A text with none of these, lower-cased, has no sensitive context.
 _SENSITIVE_WORDS = ("passw", "secret", "token", "key", "credential", "bearer", "authorization", "client")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-BEFORE, AROUND = 48, 256
-#: Compressed bytes that a character of a secret adds at least.
-LEAST_NOVELTY = 0.6
+_SPACE = re.compile(r"\s")
+#: A line of nothing but a candidate, after the end of another.
+_NEXT_LINE = re.compile(r"[^\S\n]*\n[^\S\n]*[A-Za-z0-9+/_=-]{16,}(?!\S)")
+_PEM, _PEM_END = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY[A-Z0-9 ]*-----"), "-----END"
+LEAST_LENGTH, BEFORE, AROUND = 16, 48, 256
+#: Compressed bytes that a character of a secret adds at least; from LONG characters, with an alphabet of 64.
+LEAST_NOVELTY, LONG = 0.6, 64
+_ALPHABETS = (
+    (10, re.compile(r"[0-9]+")),
+    (16, re.compile(r"[0-9a-f]+|[0-9A-F]+")),
+    (36, re.compile(r"[0-9a-z]+|[0-9A-Z]+")),
+    (64, re.compile(r".+", re.DOTALL)),
+)
+#: Each letter with those that often follow it in English, German, French and Spanish words.
+_PAIRS = frozenset(
+    x[0] + y
+    for x in (
+        "abcdgiklmnprstuvy baeiloru caehiklortu daeiorsu eabcdeilmnrstuvxy faefioru gaehilnoru haeioutr iabcdeglmnorstuvz "
+        "jaeou kaeilnost ladeilostuy mabeimopu nacdeginostu obcdfgilmnoprstuvw paehiloprstu qu radegiklmnorstuy saceihkopstu "
+        "taehiorstuyz uabceglmnrst vaeio waehino xaceipt yaeos zaeitu"
+    ).split()
+    for y in x[1:]
+)
+#: Share of such pairs from which a string is made of words; about 0.36 of random pairs are among them.
+MOST_WORDY = 0.7
 #: Longest piece of a candidate that is measured at once; a longer one is measured by such pieces.
 PIECE = 4096
 IDENTIFIERS = (
@@ -81,37 +108,96 @@ def novelty(candidate: str, before: str, after: str) -> float:
 
 
 def spans(text: str, least_novelty: float = LEAST_NOVELTY) -> list[tuple[int, int, str]]:
-    """The base matches, and the novel strings in sensitive contexts that overlap none of them."""
+    """The base matches, PEM bodies, and the novel strings in sensitive contexts; of the last two what the
+    base matches leave."""
     found = base_spans(text)
-    taken = [(a, b) for a, b, _ in found]
-    for hint in _contexts(text):
-        for m in _CANDIDATE.finditer(text, *hint):
-            a, b = m.span()
-            if any(a < y and x < b for x, y in taken) or not _mixed(m[0]):
-                continue
-            taken.append((a, b))
-            if novelty(m[0], text[max(0, a - AROUND) : a], text[b : b + AROUND]) >= least_novelty:
-                found.append((a, b, "novel"))
+    for a, b in _pem_bodies(text):
+        found += [(x, y, "novel") for x, y in _free(a, b, _disjoint(found)) if not text[x:y].isspace()]
+    taken = _disjoint(found)
+    at = 0
+    for a, b in _contexts(text):
+        at = max(at, a)
+        while m := _CANDIDATE.search(text, at, b):
+            at = m.end()
+            keys = [(x, y) for x, y in _free(*m.span(), taken) if y - x >= LEAST_LENGTH and _is_key(text, x, y, least_novelty)]
+            found += [(x, y, "novel") for x, y in keys]
+            if (keys or _covered(m.span(), taken)) and (line := _NEXT_LINE.match(text, at)):
+                b = max(b, line.end())
     return sorted(found, key=_order)
 
 
-def _mixed(s: str) -> bool:
-    """Keys mix letters with digits; words and numbers don't."""
-    return any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
+def _disjoint(found: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b, _ in sorted(found):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _free(a: int, b: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What the disjoint, sorted stretches leave of a to b."""
+    out = []
+    for x, y in taken[max(0, bisect_right(taken, (a, a)) - 1) :]:
+        if x >= b:
+            break
+        if a < x:
+            out.append((a, x))
+        a = max(a, y)
+    return [*out, (a, b)] if a < b else out
+
+
+def _covered(span: tuple[int, int], taken: list[tuple[int, int]]) -> bool:
+    return not _free(*span, taken)
+
+
+def _is_key(text: str, a: int, b: int, least_novelty: float) -> bool:
+    found = text[a:b]
+    return not _wordy(found) and novelty(found, text[max(0, a - AROUND) : a], text[b : b + AROUND]) >= _least(found, least_novelty)
+
+
+def _least(candidate: str, least_novelty: float) -> float:
+    if len(candidate) < LONG:
+        return least_novelty
+    size = next(n for n, own in _ALPHABETS if own.fullmatch(candidate))
+    return least_novelty * math.log2(size) / 6
+
+
+def _wordy(candidate: str) -> bool:
+    if any(c.isdigit() for c in candidate):
+        return False
+    low = candidate.lower()
+    pairs = [x + y for x, y in pairwise(low) if x.isalpha() and y.isalpha()]
+    return sum(p in _PAIRS for p in pairs) >= MOST_WORDY * len(pairs) if pairs else False
+
+
+def _pem_bodies(text: str) -> list[tuple[int, int]]:
+    """What stands between the lines that begin and end private keys."""
+    out, end = [], -1
+    for m in _PEM.finditer(text):
+        if end < m.end() and (end := text.find(_PEM_END, m.end())) < 0:
+            break
+        if text.find("-----BEGIN", m.end(), end) < 0 and (body := text[m.end() : end].strip()):
+            a = text.index(body, m.end())
+            out.append((a, a + len(body)))
+    return out
 
 
 def _contexts(text: str) -> list[tuple[int, int]]:
-    """Stretches in which a candidate may begin, after a sensitive word; no two overlap."""
+    """Stretches in which a candidate may begin, after a sensitive word; no two overlap. They end with a
+    word, so no candidate is cut."""
     out: list[tuple[int, int]] = []
     low = text.lower()
     if not any(w in low for w in _SENSITIVE_WORDS):
         return out
     for m in SENSITIVE.finditer(text):
-        a, b = m.end(), m.end() + BEFORE
-        while b < len(text) and b - m.end() < 16 * PIECE and not text[b].isspace():
-            b += 1  # to the end of the word that the stretch would cut
+        a, b = m.end(), min(m.end() + BEFORE, len(text))
+        if out and b <= out[-1][1]:
+            continue
+        b = end.start() if (end := _SPACE.search(text, b)) else len(text)
         if out and a < out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
+            out[-1] = (out[-1][0], b)
         else:
             out.append((a, b))
     return out

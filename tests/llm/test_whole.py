@@ -1,6 +1,9 @@
 """Rows that bounds inside the operators once left out."""
 
-from refloom.llm import warc
+import random
+import string
+
+from refloom.llm import secrets, warc
 
 
 def test_header_of_any_length(spark, tmp_path):
@@ -10,3 +13,33 @@ def test_header_of_any_length(spark, tmp_path):
     warc.write_archives(rows, f"{tmp_path}/warc")
     found = warc.read_archives(spark, f"{tmp_path}/warc").select("key", "uri", "payload").collect()
     assert sorted((int(k), u, bytes(b).decode()) for k, u, b in found) == pages
+
+
+def masked(text):
+    out = text
+    for a, b, _ in reversed(secrets.spans(text)):
+        out = out[:a] + "*" * (b - a) + out[b:]
+    return out
+
+
+def test_keys_of_any_alphabet_and_length():
+    rng, letters = random.Random(7), string.ascii_letters
+    draw = lambda own, n: "".join(rng.choices(own, k=n))
+    for own, sizes in ((letters, (20, 40, 300)), ("0123456789ABCDEF", (32, 192, 512, 5000)), (string.digits, (20, 400)), (letters + "0123456789+/", (20, 70_000))):
+        for n in sizes:
+            keys = [draw(own, n) for _ in range(50 if n < 1000 else 2)]
+            hit = [k not in masked(f"the access key {k} was sent") and "*" * n in masked(f"the access key {k} was sent") for k in keys]
+            assert sum(hit) >= 0.96 * len(hit), (own, n)
+    for word in ("internationalization", "Donaudampfschifffahrtsgesellschaft", "incomprehensibilities", "please_enter_the_secret_here", "-" * 70, "_" * 20):
+        assert masked(f"the secret {word} is") == f"the secret {word} is"
+
+
+def test_keys_of_several_lines():
+    rng = random.Random(8)
+    lines = ["".join(rng.choices(string.ascii_letters + "0123456789+/", k=64)) for _ in range(20)]
+    body = "\n".join([*lines, "Ab3="])
+    pem = f"x\n-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----\nplain words"
+    out = masked(pem)
+    assert out.endswith("-----END RSA PRIVATE KEY-----\nplain words") and not any(x in out for x in [*lines, "Ab3="])
+    out = masked("signing key:\n" + "\n".join(lines) + "\nplain words")
+    assert out.endswith("\nplain words") and not any(x in out for x in lines)
