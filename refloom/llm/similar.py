@@ -156,9 +156,10 @@ def without_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "te
     first = written(classes.groupBy("root").agg(F.min("_rk").alias("v")), "roots")
     by_hash = classes.join(first, "root").where("_rk != v").select(F.col("_rk").alias("u"), "v")
     own = with_row_key(docs.select(id, text), id, text).select("_rk", text)
-    # what SimHash has linked already is compared once
-    alone = own.join(sized(first.select(F.col("v").alias("_rk"))), "_rk", "left_semi")
-    edges = by_hash.union(similar_links(alone, text, width, least))
+    repeated = found.groupBy("_rk").count().where("count > 1").limit(1).count()
+    if repeated:
+        own = own.dropDuplicates(["_rk"])
+    edges = by_hash.union(similar_links(own, text, width, least))
     roots = written(connected_components(edges), "similar-roots")
     named = classes.join(roots, classes["_rk"] == roots["node"]).select("id", "_rk", roots["root"].alias("name"))
     named = written(named, "named")
@@ -166,6 +167,6 @@ def without_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "te
     best = written(named.groupBy("name").agg(F.min(rank)["c"].alias("best")), "best")
     losers = written(named.join(best, "name").where("_rk != best").select("_rk"), "losers")
     kept = without(with_row_key(docs, id, text), losers, "_rk")
-    if found.groupBy("_rk").count().where("count > 1").limit(1).count():
+    if repeated:
         kept = kept.dropDuplicates(["_rk"])
     return kept.drop("_rk")

@@ -3,7 +3,7 @@
 import random
 import string
 
-from refloom.llm import secrets, warc
+from refloom.llm import secrets, similar, warc
 
 
 def test_header_of_any_length(spark, tmp_path):
@@ -43,3 +43,16 @@ def test_keys_of_several_lines():
     assert out.endswith("-----END RSA PRIVATE KEY-----\nplain words") and not any(x in out for x in [*lines, "Ab3="])
     out = masked("signing key:\n" + "\n".join(lines) + "\nplain words")
     assert out.endswith("\nplain words") and not any(x in out for x in lines)
+
+
+def prefixes(lengths, tails=()):
+    """Texts that are the first words of one, some with a word of their own at the end."""
+    words = [f"w{i}" for i in range(1000)]
+    return [" ".join(words[:n]) for n in lengths] + [" ".join([*words[:n], f"own{i}"]) for i, n in enumerate(tails)]
+
+
+def test_members_of_a_simhash_class_are_compared(spark):
+    texts = prefixes([705, *range(870, 1001)])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = similar.without_near_duplicates(docs).select("doc_id").collect()
+    assert [r[0] for r in kept] == [0]
