@@ -4,8 +4,8 @@ Two texts whose shingle sets have a similarity (Jaccard) of 0.8 differ in up to
 blocks that such pairs are sure to share would be four bits wide and match everything. So beside the links
 that SimHash gives, texts with a common band of least shingle hashes are compared by their whole sets.
 A band of ROWS hashes is shared by a pair of similarity s with probability s**ROWS: of pairs at 0.8 a
-share of less than 1e-4 shares none of BANDS. What meets in a crowded band is dealt out again by FINE_BANDS
-longer ones, with the same probability of a miss at 0.8; there, unlike texts part.
+share of 4.3e-5 shares none of BANDS. What meets in a crowded band is dealt out again by FINE_BANDS
+longer ones, where another 1.03e-4 of them share none; there, unlike texts part.
 """
 
 from __future__ import annotations
@@ -25,7 +25,9 @@ BANDS, ROWS = 14, 3
 FINE_BANDS, FINE_ROWS = 50, 8
 LEAST = 0.8
 #: Texts of a band that are compared pair by pair. Of more, all are compared with the one that meets most
-#: others; those that match it leave the band, and the rest is compared with twice as many, and so on.
+#: others; those that match it are compared with those near it that don't (distances between sets obey the
+#: triangle inequality, so nothing else can match them) and leave the band; the rest is compared with twice
+#: as many, and so on.
 MOST_PAIRED = 32
 MOST_ROUNDS = 40
 _KEYS = np.array([xxhash.xxh64_intdigest(str(i)) | 1 for i in range(FINE_BANDS * FINE_ROWS)], np.uint64)
@@ -96,17 +98,37 @@ def _paired(met: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """(u, v) of the pairs (u, v, further columns) whose sets are similar enough; sizes decide first."""
+    common, every = F.col("common"), F.col("every")
+    return _shared(pairs, sets, least).where(common >= least * every).select(*pairs.columns)
+
+
+def _shared(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """pairs with the sizes of what both sets have (common) and of their union (every), without those whose
+    sizes rule out a similarity of ``least``."""
     size = F.size("own")
     a, b = (sets.select(F.col("_rk").alias(c), F.col("own").alias(f"{c}_own"), size.alias(f"{c}_n")) for c in ("u", "v"))
     both = pairs.join(a, "u").join(b, "v").where(F.least("u_n", "v_n") >= least * F.greatest("u_n", "v_n"))
-    common = F.size(F.array_intersect("u_own", "v_own"))
-    return both.where(common >= least * (F.col("u_n") + F.col("v_n") - common)).select(*pairs.columns)
+    both = both.withColumn("common", F.size(F.array_intersect("u_own", "v_own")))
+    return both.select(*pairs.columns, "common", (F.col("u_n") + F.col("v_n") - F.col("common")).alias("every"))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
+def _around(near: DataFrame, least: float) -> DataFrame:
+    """(u, v): of each hub those that match it, with those near it that don't and may match them."""
+    inner = near.where("matches").select("v", F.col("_rk").alias("a"), F.col("far").alias("a_far"))
+    ring = near.where("NOT matches").select("v", F.col("_rk").alias("b"), F.col("far").alias("b_far"))
+    reach = F.col("b_far") - F.col("a_far") <= 1 - least + 1e-9
+    return _ordered(inner.join(ring, "v").where(reach).select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
 def similar_links(docs: DataFrame, text: str = "text", width: int = 5, least: float = LEAST) -> DataFrame:
     """(u, v): links between row keys (docs has _rk, unique) whose texts' shingle sets have a similarity of
     at least ``least``. Equal sets are linked to one of them, which alone is compared further. In a band of
-    many, members that match the same text are linked through it."""
+    many, members that match the same text are linked through it, so not all pairs are told, but those
+    that chains of pairs in it connect are connected."""
     signs = written(_signs(docs, text, width), "signs")
     kinds = signs.groupBy("whole").agg(F.min("_rk").alias("v"), F.count("*").alias("n"))
     same = signs.join(kinds.where("n > 1").select("whole", "v"), "whole").where("_rk != v").select(F.col("_rk").alias("u"), "v")
@@ -128,12 +150,16 @@ def similar_links(docs: DataFrame, text: str = "text", width: int = 5, least: fl
         part = F.pmod(F.xxhash64("_rk"), F.lit(1 << i)).alias("part")
         hubs = many.groupBy("band", "key", part).agg(F.max(F.struct("rank", "_rk"))["_rk"].alias("v")).drop("part")
         hubs = written(hubs, "hubs")
-        pairs = many.join(hubs, ["band", "key"]).where("_rk != v").select(F.col("_rk").alias("u"), "v")
-        pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        found = written(_alike(pairs, sets, least), "through")
-        links.append(found)
-        # hubs have been compared with all, and what matches one of its band's hubs is linked through it
-        through = found.select("u", "v").union(found.select("v", "u")).toDF("_rk", "v")
+        pairs = many.join(hubs, ["band", "key"]).where("_rk != v").select(F.col("_rk").alias("u"), "v").distinct()
+        # twice as far as what matches a hub there can be what matches that
+        reach = max(0.0, 2 * least - 1)
+        near = _shared(pairs, sets, reach).where(F.col("common") >= (reach - 1e-9) * F.col("every"))
+        matches = (F.col("common") >= least * F.col("every")).alias("matches")
+        near = written(near.select(F.col("u").alias("_rk"), "v", matches, (1 - F.col("common") / F.col("every")).alias("far")), "near")
+        through = near.where("matches").select("_rk", "v")
+        links.append(through.toDF("u", "v"))
+        links.append(written(_alike(_around(near, least), sets, least), "around"))
+        # hubs have been compared with all; what matches a hub is linked through it, and compared with the rest
         matched = hubs.join(through, "v").select("band", "key", "_rk").union(hubs.select("band", "key", F.col("v")))
         left = met.drop("n").join(many.select("band", "key").distinct(), ["band", "key"], "left_semi")
         left = written(left.join(matched.distinct(), ["band", "key", "_rk"], "left_anti"), "left")

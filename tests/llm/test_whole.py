@@ -56,3 +56,25 @@ def test_members_of_a_simhash_class_are_compared(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     kept = similar.without_near_duplicates(docs).select("doc_id").collect()
     assert [r[0] for r in kept] == [0]
+
+
+def test_chains_in_crowded_bands(spark):
+    # in each group of copies one text connects them with another that is a little too short for them
+    group = prefixes([990, 795], [1000] * 60)
+    texts = [t.replace("w", f"g{g}x") for g in range(8) for t in group]
+    docs = spark.createDataFrame(list(enumerate(texts)), "_rk long, text string")
+    links = [(r.u, r.v) for r in similar.similar_links(docs).collect()]
+    sets = [set(zip(*(t.split()[i:] for i in range(5)))) for t in texts]
+    alike = [(u, v) for u in range(len(texts)) for v in range(u) if len(sets[u] & sets[v]) >= 0.8 * len(sets[u] | sets[v])]
+
+    def roots(edges):
+        root = list(range(len(texts)))
+        for _ in texts:
+            before = list(root)
+            for u, v in edges:
+                root[u] = root[v] = min(root[u], root[v])
+            if root == before:
+                return root
+
+    assert roots(links) == roots(alike) == [u - u % len(group) for u in range(len(texts))]
+    assert {(max(x), min(x)) for x in links} <= set(alike)
