@@ -3,7 +3,7 @@
 import random
 import string
 
-from refloom.llm import secrets, similar, warc
+from refloom.llm import secrets, similar, urls, warc
 
 
 def test_header_of_any_length(spark, tmp_path):
@@ -78,3 +78,13 @@ def test_chains_in_crowded_bands(spark):
 
     assert roots(links) == roots(alike) == [u - u % len(group) for u in range(len(texts))]
     assert {(max(x), min(x)) for x in links} <= set(alike)
+
+
+def test_templates_of_one_host_differ(spark):
+    paths = [f"fr/a/{i}" for i in range(30)] + [f"shop/{'casino' if i < 18 else 'fine'}-{chr(97 + i)}/x" for i in range(26)]
+    paths += [f"blog/{i}" for i in range(30)] + ["a/b/c/d/e/f/g"]
+    pages = spark.createDataFrame([(i, f"http://h.com/{p}") for i, p in enumerate(paths)], "page_id long, url string")
+    found = {r["path"]: (r["template"], r["verdict"]) for r in urls.judged_urls(pages).collect()}
+    assert found["/shop/fine-z/x"] == ("/shop/*/x", "block")
+    assert found["/blog/7"] == ("/blog/{n}", "allow")
+    assert found["/a/b/c/d/e/f/g"] == ("/a/b/c/d/e/f/g", "allow")
