@@ -61,5 +61,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: Hashed n-grams, SimHash and byte-pair encoding are beyond SQL; tests compare run() with a brute-force version.
+#: Hashed n-grams, SimHash and byte-pair encoding are beyond SQL; tests compare the near-duplicate stage with a brute-force version, not yet the whole of run().
 ORACLE_SQL = None
