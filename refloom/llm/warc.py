@@ -73,22 +73,25 @@ def write_archives(
     least_shared: int = LEAST_SHARED,
     date: str = "2024-01-01T00:00:00Z",
 ) -> None:
-    """One record per row. Of rows with equal payloads of at least least_shared bytes those with the
-    smallest key are responses, the others revisit them; rows without any key in their group are
-    responses. Null urls leave out the target, null payloads are empty, line breaks in urls are escaped."""
+    """One record per row. Of rows with equal payloads of at least least_shared bytes one with the smallest
+    key is a response, the others revisit it (of several rows with that key, any one); rows without any
+    key in their group are responses. Null urls leave out the target, null payloads are empty, line breaks
+    in urls are escaped, urls and payloads may have any length. Repeated rows are records of their own,
+    further columns are ignored, an empty table gives archives without a record."""
     uri = F.regexp_replace(F.regexp_replace(F.col(url), "\r", "%0D"), "\n", "%0A").alias("uri")
     rows = with_payload_digests(pages.select(F.col(key), uri, F.col(payload)), key, payload)
-    first = written(
-        rows.where(F.col("size") >= least_shared)
-        .groupBy("digest")
-        .agg(F.min("key").alias("first"), F.count("*").alias("n"))
-        .where("n > 1 AND first IS NOT NULL")
-        .select("digest", "first"),
-        "firsts",
+    by_key = rows.where(F.col("size") >= least_shared).groupBy("digest", "key").agg(F.count("*").alias("n"))
+    first = by_key.groupBy("digest").agg(
+        F.min(F.when(F.col("key").isNotNull(), F.struct("key", "n"))).alias("f"), F.sum("n").alias("n")
     )
+    first = written(first.where("n > 1 AND f IS NOT NULL").select("digest", F.col("f.key").alias("first"), (F.col("f.n") > 1).alias("tied")), "firsts")
     found = rows.join(sized(first), "digest", "left")
     shared = F.col("first").isNotNull() & (F.col("size") >= least_shared)
-    revisit = shared & (F.col("key").isNull() | (F.col("key") != F.col("first")))
+    leads = shared & F.col("key").eqNullSafe(F.col("first"))
+    if first.where("tied").limit(1).count():
+        found = _one_leads(found, F.coalesce(leads & F.col("tied"), F.lit(False)))
+        leads = leads & F.coalesce(F.col("place") == F.col("lead"), F.lit(True))
+    revisit = shared & ~leads
     body = F.col("payload").cast("string")  # the bytes as they are
     http = F.concat(
         F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: "), F.col("size"), F.lit(END)
@@ -121,6 +124,16 @@ def write_archives(
     found.select(F.concat(*head, block).alias("value")).write.option("lineSep", END).text(path)
 
 
+def _one_leads(found: DataFrame, tied: Column) -> DataFrame:
+    """found with place and lead: of the rows that share their digest and its smallest key, the one with place
+    = lead is to be the response. They are written with their places, so that all see the same one."""
+    heads = written(found.where(tied).withColumn("place", F.monotonically_increasing_id()), "heads")
+    lead = written(heads.groupBy("digest").agg(F.min("place").alias("lead")), "leads")
+    none = F.lit(None).cast("long")
+    rest = found.where(~tied).withColumns({"place": none, "lead": none})
+    return rest.unionByName(heads.join(sized(lead), "digest"))
+
+
 # ---- reading
 
 
@@ -316,17 +329,18 @@ def _parsed(batches):
 
 
 def with_referred(records: DataFrame) -> DataFrame:
-    """records with payload_bytes: the payload's size, of a revisit that of the record it refers to (null
-    if that one is missing)."""
+    """(id, type, key, payload_digest, refers_to, payload_bytes) of records: payload_bytes is the payload's size,
+    of a revisit that of the record with the id and digest that it refers to (null if that one is missing).
+    Repeated ids don't mix, repeated records are returned as often as they occur, none give none."""
     small = written(
         records.select("id", "type", "key", "payload_digest", "refers_to", F.octet_length("payload").cast("long").alias("own")),
         "sizes",
     )
-    asked = small.where("type = 'revisit'").select(F.col("refers_to").alias("id")).distinct()
-    sizes = written(
-        small.where("type != 'revisit'").join(asked, "id", "left_semi").groupBy("id").agg(F.max("own").alias("far")), "referred"
-    )
-    found = small.join(sized(sizes.withColumnRenamed("id", "refers_to")), "refers_to", "left")
+    by = ["id", "payload_digest"]
+    asked = small.where("type = 'revisit'").select(F.col("refers_to").alias("id"), "payload_digest").distinct()
+    sizes = small.where("type != 'revisit'").join(asked, by, "left_semi").groupBy(*by).agg(F.max("own").alias("far"))
+    sizes = written(sizes, "referred").withColumnRenamed("id", "refers_to")
+    found = small.join(sized(sizes), ["refers_to", "payload_digest"], "left")
     return found.withColumn("payload_bytes", F.when(F.col("type") == "revisit", F.col("far")).otherwise(F.col("own")))
 
 
