@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from refloom.llm.common import least_places, sized, with_row_key
+from refloom.llm.common import least_places, sized
 from refloom.session import ship, written
 
 WINDOW = 50
@@ -34,6 +34,8 @@ WINDOW = 50
 K = 12
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
+#: A row: its id, and 64 bits of its id and text. Only rows of one id could share them by chance.
+ROW = ["_rk", "id"]
 #: Word hashes that a worker remembers (some 30 MB); then it starts anew.
 REMEMBERED = 200_000
 
@@ -132,9 +134,9 @@ def _pieces(docs: DataFrame, id: str, text: str, window: int, k: int) -> DataFra
 
 
 def _texts_with(docs: DataFrame, lists: DataFrame, text: str) -> DataFrame:
-    """docs (_rk, text) with the list of their row in lists (a written table); others are left out before
+    """docs (_rk, id, text) with the list of their row in lists (a written table); others are left out before
     anything is shuffled if the lists are few."""
-    return docs.select("_rk", text).join(sized(lists.select("_rk")), "_rk", "left_semi").join(lists, "_rk")
+    return docs.select(*ROW, text).join(sized(lists.select(*ROW)), ROW, "left_semi").join(lists, ROW)
 
 
 def _windows(docs: DataFrame, lists: DataFrame, text: str, window: int) -> DataFrame:
@@ -158,7 +160,7 @@ def _windows(docs: DataFrame, lists: DataFrame, text: str, window: int) -> DataF
 def _paths(edges: DataFrame) -> DataFrame:
     """(_rk, id, path, start, windows): occurrences of compacted paths from those of edges (_rk, id, edge,
     start, windows). A path is named by its first edge."""
-    along = Window.partitionBy("_rk").orderBy("start")
+    along = Window.partitionBy(*ROW).orderBy("start")
     adjoins = F.lead("start").over(along) == F.col("start") + F.col("windows")
     follows = F.lag(F.col("start") + F.col("windows")).over(along) == F.col("start")
     near = edges.withColumns(
@@ -231,9 +233,9 @@ def _found(own: DataFrame, pieces: DataFrame, id: str, text: str, window: int) -
 
 
 def _cut(docs: DataFrame, spans: DataFrame, text: str, keep_text: bool) -> DataFrame:
-    """(_rk, n_removed, sha, text): of the rows with repeating spans the number of words inside them, the
+    """(_rk, id, n_removed, sha, text): of the rows with repeating spans the number of words inside them, the
     hash of the other words joined by a space and, if asked for, these."""
-    lists = spans.where("repeats").groupBy("_rk").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    lists = spans.where("repeats").groupBy(*ROW).agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     lists = written(lists, "removed")
 
     def run(batches):
@@ -251,22 +253,23 @@ def _cut(docs: DataFrame, spans: DataFrame, text: str, keep_text: bool) -> DataF
                 sha.append(hashlib.sha256(rest).digest())
                 kept.append(rest.decode() if keep_text else None)
             columns = [pa.array(n, pa.int64()), pa.array(sha, pa.binary()), pa.array(kept, pa.string())]
-            yield pa.RecordBatch.from_arrays([b.column("_rk"), *columns], ["_rk", "n_removed", "sha", "text"])
+            yield pa.RecordBatch.from_arrays([b.column("_rk"), b.column("id"), *columns], schema.names)
 
-    found = _texts_with(docs, lists, text).select("_rk", text, "spans")
-    return written(found.mapInArrow(run, "_rk bigint, n_removed bigint, sha binary, text string"), "cut").dropDuplicates(["_rk"])
+    schema = T.StructType([docs.schema[c] for c in ROW]).add("n_removed", "long").add("sha", "binary").add("text", "string")
+    found = _texts_with(docs, lists, text).select(*ROW, text, "spans")
+    return written(found.mapInArrow(run, schema), "cut").dropDuplicates(ROW)
 
 
 def _prepared(docs: DataFrame, id: str, text: str, window: int, k: int) -> tuple[DataFrame, DataFrame]:
-    own = with_row_key(docs.select(id, text), id, text)
-    return own, written(_pieces(own, id, text, window, k), "pieces")
+    own = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.xxhash64(id, text).alias("_rk"))
+    return own, written(_pieces(own, "id", "text", window, k), "pieces")
 
 
 def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW, k: int = K) -> DataFrame:
     """(id, path, start, stop, repeats): where paths of windows that two documents or more share stand, in
     words; the same path number means the same words. repeats: a smaller id has them too."""
     own, pieces = _prepared(docs, id, text, window, k)
-    return _found(own, pieces, id, text, window).select(F.col("id").alias(id), "path", "start", "stop", "repeats").distinct()
+    return _found(own, pieces, "id", "text", window).select(F.col("id").alias(id), "path", "start", "stop", "repeats").distinct()
 
 
 def repeat_digests(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW, k: int = K) -> DataFrame:
@@ -278,10 +281,10 @@ def repeat_digests(docs: DataFrame, id: str = "doc_id", text: str = "text", wind
     Repeated rows give repeated results, further columns are ignored, an empty table stays empty.
     """
     own, pieces = _prepared(docs, id, text, window, k)
-    cut = _cut(own, _found(own, pieces, id, text, window), text, False)
-    every = pieces.where("minimizer IS NULL").select("_rk", id, "n_words", F.col("sha").alias("all"))
-    return every.join(sized(cut.select("_rk", "n_removed", "sha")), "_rk", "left").select(
-        id,
+    cut = _cut(own, _found(own, pieces, "id", "text", window), "text", False)
+    every = pieces.where("minimizer IS NULL").select(*ROW, "n_words", F.col("sha").alias("all"))
+    return every.join(sized(cut.select(*ROW, "n_removed", "sha")), ROW, "left").select(
+        F.col("id").alias(id),
         "n_words",
         F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
         F.lower(F.hex(F.coalesce("sha", "all"))).alias("kept_sha256"),
@@ -292,6 +295,7 @@ def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", win
     """docs with the repeating words of their texts removed; what is left of such a text is joined by single
     spaces, other texts stay as they are. Rows as in repeat_digests."""
     own, pieces = _prepared(docs, id, text, window, k)
-    cut = _cut(own, _found(own, pieces, id, text, window), text, True).select("_rk", F.col("text").alias("_left"))
-    joined = with_row_key(docs, id, text).join(cut, "_rk", "left")
-    return joined.withColumn(text, F.coalesce("_left", text)).select(*docs.columns)
+    cut = _cut(own, _found(own, pieces, "id", "text", window), "text", True).select(*ROW, F.col("text").alias("left"))
+    packed = docs.select(F.struct("*").alias("row"), F.col(id).alias("id"), F.xxhash64(id, text).alias("_rk"))
+    joined = packed.join(cut, ROW, "left")
+    return joined.select(*(F.coalesce("left", f"row.{text}").alias(text) if c == text else f"row.`{c}`" for c in docs.columns))
