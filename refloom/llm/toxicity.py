@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import math
 import unicodedata
+from bisect import bisect_right
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -119,7 +121,10 @@ class Lexicon:
                 safe.append((end - size + 1, end))
             else:
                 seen.append((end - size + 1, end, x))
-        total = sum(x for a, b, x in seen if not any(p <= a and b <= q for p, q in safe))
+        # of the phrases that begin no later than a hit the one that reaches furthest decides
+        safe.sort()
+        begins, reach = [p for p, _ in safe], [-1, *accumulate((q for _, q in safe), max)]
+        total = sum(x for a, b, x in seen if reach[bisect_right(begins, a)] < b)
         return 1e4 * max(0.0, total) / n
 
     def score(self, text: str | None) -> float:
@@ -228,7 +233,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
 
 def scored(docs: DataFrame, lexicon: Lexicon, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, score): the score of every row's text alone. Null and empty texts have no word, so the
-    score of density zero. Repeated rows are scored alike; further columns are ignored."""
+    score of density zero; whole texts of any length count. Null ids stay. Repeated rows are scored alike,
+    further columns are ignored, an empty table gives an empty result."""
     schema = T.StructType([docs.schema[id], T.StructField("score", T.DoubleType(), False)])
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
