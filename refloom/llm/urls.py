@@ -126,8 +126,9 @@ def branch_purity(pages: DataFrame) -> DataFrame:
     leaf = written(leaf, "leaves")
     every = leaf.agg(F.sum("pages").alias("n"), F.sum("b").alias("b")).first()
     prior = (float(every["b"] or 0) + 1.0) / (float(every["n"] or 0) + 2.0)
-    hosts = leaf.groupBy("host").agg(F.sum("pages").alias("hn"), F.sum("b").alias("hb"))
-    both = leaf.join(hosts, "host")
+    # sums are written and sent around, or dealt anew, so that a host of many templates can be split
+    hosts = written(leaf.groupBy("host").agg(F.sum("pages").alias("hn"), F.sum("b").alias("hb")), "hosts")
+    both = leaf.join(sized(hosts), "host")
     rest_n, rest_b = F.col("hn") - F.col("pages"), F.col("hb") - F.col("b")
     pooled = F.try_divide("hb", "hn")
     spread = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1), "pages") + F.try_divide(F.lit(1), rest_n)))
@@ -138,10 +139,12 @@ def branch_purity(pages: DataFrame) -> DataFrame:
     # a root page's template is "" too, and is a branch of its own when it is told apart
     own = own.withColumn("apart", apart).withColumn("weight", F.when(apart & (worse > 0), F.col("n")).otherwise(F.col("pages")))
     merged = own.groupBy("host", "branch", "apart").agg(F.sum("weight").alias("n"), F.sum("b").alias("b"))
-    like = merged.where("NOT apart").select("host", F.col("n").alias("ln"), F.col("b").alias("lb"))
     host_share = (F.coalesce("lb", F.lit(0)) + PRIOR_ROWS * prior) / (F.coalesce("ln", F.lit(0)) + PRIOR_ROWS)
     purity = (F.col("b") + PRIOR_ROWS * host_share) / (F.col("n") + PRIOR_ROWS)
-    merged = merged.join(like, "host", "left").select("host", "branch", "apart", purity.alias("purity"))
+    merged = written(merged, "merged")
+    like = merged.where("NOT apart").select("host", F.col("n").alias("ln"), F.col("b").alias("lb"))
+    merged = merged.join(sized(like), "host", "left").select("host", "branch", "apart", purity.alias("purity"))
+    merged = sized(written(merged, "purities"))
     return own.select("host", "template", "branch", "apart").join(merged, ["host", "branch", "apart"]).drop("apart")
 
 
