@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from refloom.llm.common import least_places, with_row_key
+from refloom.llm.common import least_places, sized, with_row_key
 from refloom.session import ship, written
 
 GRAM = 10
@@ -141,7 +141,7 @@ def _document_windows(docs: DataFrame, text: str, short: list[int], wanted: np.n
                         windows.append(own[q].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(key, pa.int64()),
+                    pa.array(key, pa.binary()),
                     pa.array(count, pa.int64()),
                     pa.array(gram, pa.int64()),
                     pa.array(places, pa.list_(pa.int32())),
@@ -151,7 +151,7 @@ def _document_windows(docs: DataFrame, text: str, short: list[int], wanted: np.n
                 ["_rk", "n_words", "gram", "places", "sizes", "windows"],
             )
 
-    schema = "_rk bigint, n_words bigint, gram bigint, places array<int>, sizes array<int>, windows array<bigint>"
+    schema = "_rk binary, n_words bigint, gram bigint, places array<int>, sizes array<int>, windows array<bigint>"
     ship(docs.sparkSession)
     return docs.mapInArrow(run, schema)
 
@@ -202,7 +202,8 @@ def contamination(
         near = near.join(grams, "gram", "left_semi")
     place = F.arrays_zip(F.col("places").alias("place"), F.col("sizes").alias("size"), F.col("windows").alias("window"))
     whole = near.select("_rk", F.inline(place).alias("place", "size", "window")).distinct()
-    hits = whole.join(bench.select("id", "size", "window").distinct(), ["size", "window"])
+    # sent around if small; else both sides are dealt anew, so that a window of many documents can be split
+    hits = whole.join(sized(written(bench.select("id", "size", "window").distinct(), "item-windows")), ["size", "window"])
     hit = hits.groupBy("_rk").agg(
         _covered(F.array_sort(F.collect_set(F.struct("place", "size")))).alias("n_hit"),
         F.array_sort(F.collect_set(F.col("id").cast("string"))).alias("items"),

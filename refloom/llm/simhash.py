@@ -135,7 +135,5 @@ def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text", width:
     best = classes.groupBy("root").agg(F.min(rank)["c"].alias("best"))
     beside = classes.join(best, "root")
     losers = written(beside.where("_rk != best").select("_rk").distinct(), "losers")
-    kept = without(with_row_key(docs, id, text), losers, "_rk")
-    if classes.groupBy("_rk").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["_rk"])
-    return kept.drop("_rk")
+    once = classes.groupBy("_rk").count().where("count > 1").limit(1).count() > 0
+    return without(docs, losers, id, text, once=once)

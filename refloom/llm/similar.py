@@ -4,33 +4,44 @@ Two texts whose shingle sets have a similarity (Jaccard) of 0.8 differ in up to
 blocks that such pairs are sure to share would be four bits wide and match everything. So beside the links
 that SimHash gives, texts with a common band of least shingle hashes are compared by their whole sets.
 A band of ROWS hashes is shared by a pair of similarity s with probability s**ROWS: of pairs at 0.8 a
-share of 4.3e-5 shares none of BANDS. What meets in a crowded band is dealt out again by FINE_BANDS
-longer ones, where another 1.03e-4 of them share none; there, unlike texts part.
+share of 4.3e-5 shares none of BANDS.
+
+What meets in a crowded band is compared without its pairs being told, and without loss. The members of such
+bands form groups; each has a reference, the set R of the shingles that most of its members have. A set x is
+R without ``missing`` shingles and with others, together its difference D. With f(x) = t / (1 + t) |x| + missing,
+sets x and y have a similarity of t exactly if their differences share f(x) + f(y) - |R| shingles. So
+
+* where that is zero or less, they match whatever they share. Both then match the member with the least f, too,
+  and one comparison of each member with that one connects all such pairs;
+* elsewhere they share shingles of their differences, and so a rare one among the first of them (prefix
+  filter). Differences of near copies are small and mostly their own, so few meet there; what the comparisons
+  have connected already isn't compared again.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refloom.llm.common import parts, sized, with_row_key, without
+from refloom.llm.common import BROADCAST_BYTES, parts, sized, with_row_key, without
 from refloom.llm.components import connected_components
 from refloom.llm.simhash import near_duplicate_classes
 from refloom.session import ship, written
 
 BANDS, ROWS = 14, 3
-FINE_BANDS, FINE_ROWS = 50, 8
 LEAST = 0.8
-#: Texts of a band that are compared pair by pair. Of more, all are compared with the one that meets most
-#: others; those that match it are compared with those near it that don't (distances between sets obey the
-#: triangle inequality, so nothing else can match them) and leave the band; the rest is compared with twice
-#: as many, and so on.
+#: Texts of a band that are compared pair by pair. Members of larger bands are compared by their groups.
 MOST_PAIRED = 32
-MOST_ROUNDS = 40
-_KEYS = np.array([xxhash.xxh64_intdigest(str(i)) | 1 for i in range(FINE_BANDS * FINE_ROWS)], np.uint64)
+#: Ratio of the bounds of the classes of f in which partners are looked for; finer ones give fewer candidates and
+#: more keys.
+STEP = 1.08
+_KEYS = np.array([xxhash.xxh64_intdigest(str(i)) | 1 for i in range(BANDS * ROWS)], np.uint64)
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -42,15 +53,15 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(r)) for r in runs), np.uint64))
 
 
-def bands(own: np.ndarray, count: int = BANDS, rows: int = ROWS) -> list[int]:
+def bands(own: np.ndarray) -> list[int]:
     """One key for each band; texts without a word have none."""
     if not len(own):
         return []
-    least = np.empty(count * rows, np.uint64)
-    for i, k in enumerate(_KEYS[: len(least)]):
+    least = np.empty(BANDS * ROWS, np.uint64)
+    for i, k in enumerate(_KEYS):
         x = own * k
         least[i] = (x ^ (x >> np.uint64(32))).min()
-    return [xxhash.xxh64_intdigest(least[i : i + rows].tobytes(), i) - (1 << 63) for i in range(0, len(least), rows)]
+    return [xxhash.xxh64_intdigest(least[i : i + ROWS].tobytes(), i) - (1 << 63) for i in range(0, len(least), ROWS)]
 
 
 def _signs(docs: DataFrame, text: str, width: int) -> DataFrame:
@@ -64,22 +75,19 @@ def _signs(docs: DataFrame, text: str, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("_rk"), whole, keys], ["_rk", "whole", "bands"])
 
     ship(docs.sparkSession)
-    return docs.select("_rk", text).mapInArrow(run, "_rk bigint, whole bigint, bands array<bigint>")
+    return docs.select("_rk", text).mapInArrow(run, "_rk binary, whole bigint, bands array<bigint>")
 
 
 def _sets(docs: DataFrame, text: str, width: int) -> DataFrame:
-    """(_rk, own, bands): the whole shingle sets, and the keys of the longer bands of those marked crowded."""
+    """(_rk, crowded, own): the whole shingle sets."""
 
     def run(batches):
         for b in parts(batches):
-            own = [shingles(x.as_py(), width) for x in b.column(text)]
-            crowded = b.column("crowded").to_pylist()
-            keys = [bands(s, FINE_BANDS, FINE_ROWS) if c else [] for s, c in zip(own, crowded, strict=True)]
-            sets = pa.array([s.view(np.int64) for s in own], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("_rk"), sets, pa.array(keys, pa.list_(pa.int64()))], ["_rk", "own", "bands"])
+            own = pa.array([shingles(x.as_py(), width).view(np.int64) for x in b.column(text)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("_rk"), b.column("crowded"), own], ["_rk", "crowded", "own"])
 
     ship(docs.sparkSession)
-    return docs.select("_rk", text, "crowded").mapInArrow(run, "_rk bigint, own array<bigint>, bands array<bigint>")
+    return docs.select("_rk", "crowded", text).mapInArrow(run, "_rk binary, crowded boolean, own array<bigint>")
 
 
 def _met(keyed: DataFrame) -> DataFrame:
@@ -97,41 +105,116 @@ def _paired(met: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """(u, v) of the pairs (u, v, further columns) whose sets are similar enough; sizes decide first."""
-    common, every = F.col("common"), F.col("every")
-    return _shared(pairs, sets, least).where(common >= least * every).select(*pairs.columns)
-
-
-def _shared(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """pairs with the sizes of what both sets have (common) and of their union (every), without those whose
-    sizes rule out a similarity of ``least``."""
+    """The pairs (u, v) whose sets are similar enough; sizes decide first."""
     size = F.size("own")
     a, b = (sets.select(F.col("_rk").alias(c), F.col("own").alias(f"{c}_own"), size.alias(f"{c}_n")) for c in ("u", "v"))
     both = pairs.join(a, "u").join(b, "v").where(F.least("u_n", "v_n") >= least * F.greatest("u_n", "v_n"))
     both = both.withColumn("common", F.size(F.array_intersect("u_own", "v_own")))
-    return both.select(*pairs.columns, "common", (F.col("u_n") + F.col("v_n") - F.col("common")).alias("every"))
+    return both.where(F.col("common") >= least * (F.col("u_n") + F.col("v_n") - F.col("common"))).select("u", "v")
+
+
+def _groups(met: DataFrame) -> DataFrame:
+    """(hub, _rk): the members of crowded bands by group. A band's group is named by its member that meets most
+    others, so bands of the same texts share one."""
+    rank = written(met.groupBy("_rk").agg(F.sum("n").alias("rank")), "ranks")
+    many = written(met.where(F.col("n") > MOST_PAIRED).select("band", "key", "_rk").join(rank, "_rk"), "crowded")
+    hubs = written(many.groupBy("band", "key").agg(F.max(F.struct("rank", "_rk"))["_rk"].alias("hub")), "hubs")
+    return written(many.join(sized(hubs), ["band", "key"]).select("hub", "_rk").distinct(), "groups")
+
+
+def _differences(groups: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(hub, _rk, f, size, total, shared): of every member of a group f, the size of the group's reference and of its
+    own difference, and those shingles of it that another member's difference has as well, the rarest first."""
+    own = written(groups.join(sets.select("_rk", "own"), "_rk"), "members")
+    each = own.select("hub", F.explode("own").alias("token")).groupBy("hub", "token").agg(F.count("*").alias("n"))
+    members = written(groups.groupBy("hub").agg(F.count("*").alias("members")), "counts")
+    each = written(each.join(sized(members), "hub"), "tokens")
+    most = 2 * F.col("n") > F.col("members")
+    reference = written(each.where(most).groupBy("hub").agg(F.collect_list("token").alias("reference")), "references")
+    told = own.join(sized(members), "hub").join(_few(reference), "hub", "left")
+    whole = F.coalesce("reference", F.array().cast("array<bigint>"))
+    missing, extra = F.array_except(whole, F.col("own")), F.array_except(F.col("own"), whole)
+    told = told.withColumns({"missing": missing, "extra": extra})
+    f = least / (1 + least) * F.size("own") + F.size("missing")
+    told = told.select("hub", "_rk", f.alias("f"), F.size(whole).alias("size"), F.concat("missing", "extra").alias("difference"))
+    told = written(told, "differences")
+    rare = each.select("hub", "token", F.when(most, F.col("members") - F.col("n")).otherwise(F.col("n")).alias("n")).where("n > 1")
+    listed = told.select("hub", "_rk", F.explode("difference").alias("token")).join(written(rare, "shared-tokens"), ["hub", "token"])
+    order = F.array_sort(F.collect_list(F.struct("n", "token")))
+    listed = listed.groupBy("hub", "_rk").agg(F.transform(order, lambda x: x["token"]).alias("shared"))
+    found = told.select("hub", "_rk", "f", "size", F.size("difference").alias("total"))
+    return written(found.join(written(listed, "listed"), ["hub", "_rk"], "left"), "prefixes")
+
+
+def _few(side: DataFrame) -> DataFrame:
+    """A side with lists of shingles, with a broadcast hint if it is small."""
+    n = side.agg(F.sum(F.size("reference"))).first()[0] or 0
+    return F.broadcast(side) if 8 * n <= BROADCAST_BYTES else side
+
+
+def _entries(rows: DataFrame, least: float) -> DataFrame:
+    """(hub, token, low, high, role, _rk, label): the shingles by which a member meets partners of each class of f, its
+    own class and theirs in order; role 0 for the partner of the lower class, 1 for that of the higher one, both
+    for partners of its own."""
+    names = ["hub", "token", "low", "high", "role", "_rk", "label"]
+    share = least / (1 + least)
+
+    def place(f: float) -> int:
+        return math.floor(math.log(max(f, 1.0)) / math.log(STEP) + 1e-9)
+
+    def run(batches):
+        for b in parts(batches):
+            at, out = [], []
+            columns = (b.column(c).to_pylist() for c in ("f", "size", "total", "n", "shared"))
+            for i, (f, size, total, n, shared) in enumerate(zip(*columns, strict=True)):
+                if not shared:
+                    continue
+                mine, alone = place(f), total - len(shared)
+                # a partner has least * n shingles or more, and no more of them in common than there are
+                for c in range(place(share * least * n), place(max(size + total - f, 1.0)) + 1):
+                    need = max(1, math.ceil(f + (STEP**c if c else 0.0) - size - 1e-6))
+                    tokens = shared[: max(0, total - need + 1 - alone)]
+                    for role in (0, 1) if c == mine else (int(c < mine),):
+                        at += [i] * len(tokens)
+                        out += [(t, min(c, mine), max(c, mine), role) for t in tokens]
+            token, low, high, role = (pa.array(x, k) for x, k in zip(zip(*out, strict=True) if out else [()] * 4, (pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True))
+            rows_at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("hub").take(rows_at), token, low, high, role, b.column("_rk").take(rows_at), b.column("label").take(rows_at)], names)
+
+    ship(rows.sparkSession)
+    schema = "hub binary, token bigint, low int, high int, role int, _rk binary, label binary"
+    return rows.select("hub", "f", "size", "total", "n", "shared", "_rk", "label").mapInArrow(run, schema)
+
+
+def _across(prefixes: DataFrame, sets: DataFrame, labels: DataFrame, least: float) -> DataFrame:
+    """(u, v) between members of a group that aren't connected yet (labels: node, root). Where most of those that meet
+    are connected, only the others look for partners among them."""
+    sizes = sets.select("_rk", F.size("own").alias("n"))
+    rows = prefixes.join(sizes, "_rk").join(labels.select(F.col("node").alias("_rk"), "root"), "_rk", "left")
+    rows = written(_entries(rows.withColumn("label", F.coalesce("root", "_rk")), least), "entries")
+    key = ["hub", "token", "low", "high"]
+    by_label = rows.groupBy(*key, "label").agg(F.count("*").alias("n"))
+    heads = by_label.groupBy(*key).agg(F.max_by("label", "n").alias("head"), F.count("*").alias("labels")).where("labels > 1")
+    met = written(rows.join(written(heads.drop("labels"), "heads"), key), "meeting")
+    a = met.where("role = 0").select(*key, F.col("_rk").alias("u"), F.col("label").alias("a"), (F.col("label") == F.col("head")).alias("in_head"))
+    b = met.where("role = 1").select(*key, F.col("_rk").alias("v"), F.col("label").alias("b"), (F.col("label") == F.col("head")).alias("v_in_head"))
+    apart = F.col("a") != F.col("b")
+    outside = a.where("NOT in_head").join(b, key).where(apart).select("u", "v")
+    inside = a.where("in_head").join(b.where("NOT v_in_head"), key).where(apart).select("u", "v")
+    return written(_alike(_ordered(outside.union(inside)), sets, least), "across")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def _around(near: DataFrame, least: float) -> DataFrame:
-    """(u, v): of each hub those that match it, with those near it that don't and may match them."""
-    inner = near.where("matches").select("v", F.col("_rk").alias("a"), F.col("far").alias("a_far"))
-    ring = near.where("NOT matches").select("v", F.col("_rk").alias("b"), F.col("far").alias("b_far"))
-    reach = F.col("b_far") - F.col("a_far") <= 1 - least + 1e-9
-    return _ordered(inner.join(ring, "v").where(reach).select(F.col("a").alias("u"), F.col("b").alias("v")))
-
-
 def similar_links(docs: DataFrame, text: str = "text", width: int = 5, least: float = LEAST) -> DataFrame:
-    """(u, v): links between row keys (docs has _rk, unique) whose texts' shingle sets have a similarity of
-    at least ``least``. Equal sets are linked to one of them, which alone is compared further. In a band of
-    many, members that match the same text are linked through it, so not all pairs are told, but those
-    that chains of pairs in it connect are connected."""
+    """(u, v): links between row keys (docs has _rk, binary and unique) whose texts' shingle sets have a similarity of
+    at least ``least``. Equal sets are linked to one of them, which alone is compared further. In crowded
+    bands not every such pair is told, but those that chains of pairs connect are connected."""
     signs = written(_signs(docs, text, width), "signs")
-    kinds = signs.groupBy("whole").agg(F.min("_rk").alias("v"), F.count("*").alias("n"))
-    same = signs.join(kinds.where("n > 1").select("whole", "v"), "whole").where("_rk != v").select(F.col("_rk").alias("u"), "v")
+    kinds = written(signs.groupBy("whole").agg(F.min("_rk").alias("v"), F.count("*").alias("n")).where("n > 1"), "kinds")
+    same = signs.join(kinds.select("whole", "v"), "whole").where("_rk != v").select(F.col("_rk").alias("u"), "v")
     links = [written(same, "equal")]
     keys = F.posexplode("bands").alias("band", "key")
     met = _met(signs.join(links[0].select(F.col("u").alias("_rk")), "_rk", "left_anti").select("_rk", keys))
@@ -139,38 +222,15 @@ def similar_links(docs: DataFrame, text: str = "text", width: int = 5, least: fl
     own = docs.join(sized(seen.select("_rk")), "_rk", "left_semi").join(seen, "_rk")
     sets = written(_sets(own, text, width), "sets")
     links.append(_paired(met, sets, least))
-    met = _met(sets.select("_rk", keys))
-    rank = met.groupBy("_rk").agg(F.sum("n").alias("rank"))
-    met = written(met.join(written(rank, "ranks"), "_rk"), "ranked")
-    for i in range(MOST_ROUNDS):
-        links.append(_paired(met, sets, least))
-        many = met.where(F.col("n") > MOST_PAIRED).select("band", "key", "_rk", "rank")
-        if not many.limit(1).count():
-            break
-        part = F.pmod(F.xxhash64("_rk"), F.lit(1 << i)).alias("part")
-        hubs = many.groupBy("band", "key", part).agg(F.max(F.struct("rank", "_rk"))["_rk"].alias("v")).drop("part")
-        hubs = written(hubs, "hubs")
-        pairs = many.join(hubs, ["band", "key"]).where("_rk != v").select(F.col("_rk").alias("u"), "v").distinct()
-        # twice as far as what matches a hub there can be what matches that
-        reach = max(0.0, 2 * least - 1)
-        near = _shared(pairs, sets, reach).where(F.col("common") >= (reach - 1e-9) * F.col("every"))
-        matches = (F.col("common") >= least * F.col("every")).alias("matches")
-        near = written(near.select(F.col("u").alias("_rk"), "v", matches, (1 - F.col("common") / F.col("every")).alias("far")), "near")
-        through = near.where("matches").select("_rk", "v")
-        links.append(through.toDF("u", "v"))
-        links.append(written(_alike(_around(near, least), sets, least), "around"))
-        # hubs have been compared with all; what matches a hub is linked through it, and compared with the rest
-        matched = hubs.join(through, "v").select("band", "key", "_rk").union(hubs.select("band", "key", F.col("v")))
-        left = met.drop("n").join(many.select("band", "key").distinct(), ["band", "key"], "left_semi")
-        left = written(left.join(matched.distinct(), ["band", "key", "_rk"], "left_anti"), "left")
-        again = written(left.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"), "crowds")
-        met = written(left.join(again, ["band", "key"]), "met")
-    else:
-        raise RuntimeError("bands that don't get smaller")
-    out = links[0]
-    for x in links[1:]:
-        out = out.union(x)
-    return out.distinct()
+    crowded = sets.where("crowded")
+    if crowded.limit(1).count():
+        prefixes = _differences(_groups(met), crowded, least)
+        centre = written(prefixes.groupBy("hub").agg(F.min_by("_rk", F.struct("f", "_rk")).alias("centre")), "centres")
+        stars = prefixes.select("hub", "_rk").join(sized(centre), "hub").where("_rk != centre").select(F.col("_rk").alias("u"), F.col("centre").alias("v"))
+        links.append(written(_alike(_ordered(stars), crowded, least), "stars"))
+        labels = written(connected_components(links[-1]), "labels")
+        links.append(_across(prefixes, crowded, labels, least))
+    return reduce(DataFrame.union, links).distinct()
 
 
 def without_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, least: float = LEAST) -> DataFrame:
@@ -192,7 +252,4 @@ def without_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "te
     rank = F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), F.col("_rk").alias("c"))
     best = written(named.groupBy("name").agg(F.min(rank)["c"].alias("best")), "best")
     losers = written(named.join(best, "name").where("_rk != best").select("_rk"), "losers")
-    kept = without(with_row_key(docs, id, text), losers, "_rk")
-    if repeated:
-        kept = kept.dropDuplicates(["_rk"])
-    return kept.drop("_rk")
+    return without(docs, losers, id, text, once=repeated > 0)
