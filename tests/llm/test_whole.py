@@ -3,7 +3,8 @@
 import random
 import string
 
-from refloom.llm import secrets, similar, urls, warc
+from refloom.llm import common, decontam, secrets, similar, simhash, substrings, toxicity, urls, warc
+from tests.llm import brute
 
 
 def test_header_of_any_length(spark, tmp_path):
@@ -62,8 +63,8 @@ def test_chains_in_crowded_bands(spark):
     # in each group of copies one text connects them with another that is a little too short for them
     group = prefixes([990, 795], [1000] * 60)
     texts = [t.replace("w", f"g{g}x") for g in range(8) for t in group]
-    docs = spark.createDataFrame(list(enumerate(texts)), "_rk long, text string")
-    links = [(r.u, r.v) for r in similar.similar_links(docs).collect()]
+    docs = spark.createDataFrame([(i.to_bytes(4), t) for i, t in enumerate(texts)], "_rk binary, text string")
+    links = [(int.from_bytes(r.u), int.from_bytes(r.v)) for r in similar.similar_links(docs).collect()]
     sets = [set(zip(*(t.split()[i:] for i in range(5)))) for t in texts]
     alike = [(u, v) for u in range(len(texts)) for v in range(u) if len(sets[u] & sets[v]) >= 0.8 * len(sets[u] | sets[v])]
 
@@ -88,3 +89,79 @@ def test_templates_of_one_host_differ(spark):
     assert found["/shop/fine-z/x"] == ("/shop/*/x", "block")
     assert found["/blog/7"] == ("/blog/{n}", "allow")
     assert found["/a/b/c/d/e/f/g"] == ("/a/b/c/d/e/f/g", "allow")
+
+
+def test_one_response_for_each_payload(spark, tmp_path):
+    # repeated ids with other payloads, repeated rows, rows without an id; several blocks to a file
+    rows = [(1, "a"), (1, "bbbb"), (2, "a"), (3, "c"), (3, "c"), (3, "c"), (4, "c"), (None, "c"), (None, "n"), (5, ""), (6, None), (5, "")]
+    pages = spark.createDataFrame([(i, f"http://h/{n}", h) for n, (i, h) in enumerate(rows)], "page_id long, url string, html string")
+    warc.write_archives(pages.repartition(3), f"{tmp_path}/warc")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+        found = warc.with_referred(warc.read_archives(spark, f"{tmp_path}/warc")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    told = sorted((r.key or "", r.payload_bytes, r.type, r.refers_to or "") for r in found)
+    assert told == sorted(
+        [("1", 1, "response", ""), ("1", 4, "response", ""), ("2", 1, "revisit", "<urn:page:1>"), ("", 1, "response", ""), ("6", 0, "revisit", "<urn:page:5>")]
+        + [("3", 1, "response", ""), *[("3", 1, "revisit", "<urn:page:3>")] * 2, ("4", 1, "revisit", "<urn:page:3>"), ("", 1, "revisit", "<urn:page:3>")]
+        + [("5", 0, "response", ""), ("5", 0, "revisit", "<urn:page:5>")]
+    )
+
+
+def test_hits_inside_phrases():
+    rng = random.Random(9)
+    own = toxicity.Lexicon(weights={"clown ": 2.0, "tras": 1.0, "garbage ": 3.0, "idiot ": 1.5})
+    words = ["clown", "fish", "circus", "trash", "can", "take", "out", "the", "garbage", "truck", "idiot", "proof", "by", "dostoevsky", "tr4sh", "clownish"]
+    for _ in range(200):
+        text = " ".join(rng.choices(words, k=rng.randrange(40)))
+        plain, n = toxicity.folded(text)
+        hits = [(a, a + len(w) + 1, x) for a in range(len(plain)) for w, x in own.weights.items() if plain.startswith(f" {w}", a)]
+        safe = [(a, a + len(p) + 2) for a in range(len(plain)) for p in own.exceptions if plain.startswith(f" {p} ", a)]
+        total = sum(x for a, b, x in hits if not any(p <= a and b <= q for p, q in safe))
+        assert abs(own.density(text) - (1e4 * total / n if n else 0.0)) < 1e-6
+    own.density("trash can idiot " * 200_000)  # in proportion to the length
+
+
+def test_spans_of_random_texts():
+    rng = random.Random(10)
+    parts = ["secret key", "token: ", "abc", "\n", " ", "AKIA" + "Q" * 17, "0f" * 20, "9fK2mQ7xVb3ZtR8wLp5YnC4d", "password=", "-----BEGIN PRIVATE KEY-----\n", "-----END PRIVATE KEY-----", "words and", "x" * 30, "zT9/" * 6 + "Qw==", "é", ":"]
+    for _ in range(300):
+        text = "".join(rng.choices(parts, k=rng.randrange(25)))
+        assert secrets.spans(text) == brute.secret_spans(text, secrets), text
+
+
+def test_ways_beyond_the_bounds(spark, sf_dir, monkeypatch):
+    """What is done for many rows gives what is done for few."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+
+    def results():
+        hits = decontam.contamination(docs, items, sent_grams=sent).select("doc_id", "n_hit", "items")
+        classes = simhash.near_duplicate_classes(docs, most_in_block=block).select("doc_id", "component")
+        kept = similar.without_near_duplicates(docs).select("doc_id")
+        spans = substrings.repeat_digests(docs)
+        return [sorted(map(str, x.collect())) for x in (hits, classes, kept, spans)]
+
+    sent, block = decontam.SENT_GRAMS, simhash.MOST_IN_BLOCK
+    usual = results()
+    sent, block = 0, 1
+    monkeypatch.setattr(similar, "MOST_PAIRED", 2)
+    monkeypatch.setattr(common.sized, "__defaults__", (0, 0))
+    for module in (decontam, substrings):
+        monkeypatch.setattr(module, "REMEMBERED", 10)
+    assert results() == usual
+
+
+def test_passing_tables_go(spark):
+    from refloom.session import hadoop_path, passing, shared_dir, written
+
+    def listed():
+        fs, at = hadoop_path(spark, shared_dir(spark))
+        return {x.getPath().getName() for x in fs.listStatus(at)}
+
+    before = listed() if written(spark.range(1), "before") else set()
+    with passing(spark):
+        assert written(spark.range(3), "inside").count() == 3 and listed() > before
+    assert listed() == before
