@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from refloom.functions.names import undefined_max_date, undefined_min_date
 from refloom.operators.numbering import numbered
+from refloom.session import written
 
 LOADED, PROCESSED, DISCARDED = "loaded", "processed", "discarded"
 
@@ -40,6 +41,15 @@ def high_water(df: DataFrame, column: str) -> int:
     return df.agg(F.coalesce(F.max(column), F.lit(0))).first()[0]
 
 
+def adjusted_sequence(last: int, df: DataFrame, column: str, least: int = 1, may_decrease: bool = True) -> int:
+    """Where a sequence that stood at last goes on: at the largest value of a column, which is below it only
+    if it may decrease; never below the sequence's minimum."""
+    most = df.agg(F.max(column)).first()[0]
+    if most is None or most < least or most < last and not may_decrease:
+        return last
+    return most
+
+
 def upsert_plain(target: DataFrame, package: DataFrame, run_ts: Column, new_ids: bool = True, id: str = "id") -> DataFrame:
     """Staged rows replace those of the same id with all their attributes, nulls too; others are added.
     Of repeated ids in a package the last one counts."""
@@ -62,6 +72,9 @@ def delete_details(details: DataFrame, target: DataFrame, package: DataFrame, id
 
 # ---- translations
 
+#: What names a translation. A versioned entity's has master_version as well.
+TRANSLATION = ("master_id", "attr", "lang_id")
+
 
 def unpivoted(package: DataFrame, attributes: list[str], key: list[str]) -> DataFrame:
     """(key, attr, lc_string): a row for each row and localisable attribute, nulls included."""
@@ -69,10 +82,15 @@ def unpivoted(package: DataFrame, attributes: list[str], key: list[str]) -> Data
     return package.select(*key, F.inline(pairs))
 
 
-def upsert_localised(lc: DataFrame, changes: DataFrame, key: tuple[str, ...] = ("master_id", "attr", "lang_id")) -> DataFrame:
-    """Translations after changes (key, lc_string): a null text deletes, any other replaces or adds."""
-    fresh = changes.where(F.col("lc_string").isNotNull())
-    return lc.join(changes.select(*key).distinct(), list(key), "left_anti").unionByName(fresh.select(*lc.columns))
+def upsert_localised(lc: DataFrame, changes: DataFrame, key: tuple[str, ...] = TRANSLATION) -> DataFrame:
+    """Translations after changes (key, lc_string): a null text deletes, any other replaces or adds. If lc has
+    is_default_value, only default translations are touched, and those that come are default ones."""
+    sent, fresh = changes.select(*key).distinct(), changes.where(F.col("lc_string").isNotNull())
+    key = list(key)
+    if "is_default_value" in lc.columns:
+        sent, fresh = (x.withColumn("is_default_value", F.lit(True)) for x in (sent, fresh))
+        key.append("is_default_value")
+    return lc.join(sent, key, "left_anti").unionByName(fresh.select(*lc.columns))
 
 
 def pivoted(lc: DataFrame, attributes: list[str], by: tuple[str, ...] = ("master_id", "lang_id")) -> DataFrame:
@@ -80,6 +98,14 @@ def pivoted(lc: DataFrame, attributes: list[str], by: tuple[str, ...] = ("master
     return lc.groupBy(*by).agg(*(F.max(F.when(F.col("attr") == a, F.col("lc_string"))).alias(a) for a in attributes))
 
 
+def delete_version_details(details: DataFrame, target: DataFrame, package: DataFrame) -> DataFrame:
+    """Translations (master_id, master_version) without those of deleted versions that have an outer version;
+    internal versions are only closed, so theirs stay."""
+    outer = target.where(F.col("external_version").isNotNull() | F.col("meta_version").isNotNull()).select("id", "version")
+    gone = outer.join(package.select("id", "version").distinct(), ["id", "version"], "left_semi")
+    return details.join(gone.toDF("master_id", "master_version"), ["master_id", "master_version"], "left_anti")
+
+
 # ---- versions
 
 
@@ -124,36 +150,50 @@ def with_version_order(package: DataFrame) -> DataFrame:
     return package.withColumn("_own", own).withColumn("version_ordinal", F.row_number().over(series)).drop("_own")
 
 
-def _close_series(target: DataFrame, package: DataFrame, id: str, version: str, extra: Column) -> DataFrame:
-    """Of each series that the package continues, the target's row with the latest end among those that
-    begin before the first staged one ends where that one begins."""
+def _firsts(package: DataFrame, id: str, version: str) -> DataFrame:
+    """(key, source_id, from, package) of each series that a package (with version_ordinal) continues."""
     first = package.where(
         (F.col("version_ordinal") == 1) & F.col(id).isNotNull() & F.col(version).isNotNull() & F.col("valid_from").isNotNull()
-    ).groupBy(id, "source_id").agg(F.min("valid_from").alias("_from"), F.max("data_package_id").alias("_package"))
-    near = target.join(first, [id, "source_id"], "left")
-    other = ~F.col("data_package_id").eqNullSafe(F.col("_package"))
-    may = F.col("_from").isNotNull() & F.col(version).isNotNull() & (F.col("valid_from") < F.col("_from")) & other & extra
-    near = near.withColumn("_may", F.coalesce(may, F.lit(False)))
-    latest = F.max(F.when(F.col("_may"), F.col("valid_to"))).over(Window.partitionBy(id, "source_id"))
-    near = near.withColumn("_latest", latest)
-    ends = F.col("_may") & (F.col("valid_to") == F.col("_latest"))
-    return near.withColumn("valid_to", F.when(ends, F.col("_from")).otherwise(F.col("valid_to"))).select(*target.columns)
-
+    )
+    return first.groupBy(F.col(id).alias("_key"), "source_id").agg(
+        F.min("valid_from").alias("_from"), F.max("data_package_id").alias("_package")
+    )
 
-def close_external(target: DataFrame, package: DataFrame) -> DataFrame:
-    return _close_series(target, package, "external_id", "external_version", F.lit(True))
 
+def close_outer(target: DataFrame, package: DataFrame) -> DataFrame:
+    """Of each series that the package continues, the target's row with the latest end among those that begin
+    before the first staged one ends where that one begins. Series go by external_id, and by meta_id where
+    neither side has an external id.
 
-def close_meta(target: DataFrame, package: DataFrame) -> DataFrame:
-    """Like close_external by meta_id, where neither side has an external id."""
-    return _close_series(target, package.where("external_id IS NULL"), "meta_id", "meta_version", F.col("external_id").isNull())
+    What may end is summed by series before it is shuffled; rows of no series (a third of all rows may have
+    neither id) are dealt out by their own key, not by the null that they share."""
+    firsts = _firsts(package, "external_id", "external_version").withColumn("_outer", F.lit("e")).unionByName(
+        _firsts(package.where("external_id IS NULL"), "meta_id", "meta_version").withColumn("_outer", F.lit("m"))
+    )
+    kind = F.when(F.col("external_id").isNotNull(), "e").when(F.col("meta_id").isNotNull(), "m").otherwise("")
+    key = F.coalesce("external_id", "meta_id", F.concat_ws(":", "id", "version"))
+    version = F.when(F.col("external_id").isNotNull(), F.col("external_version")).otherwise(F.col("meta_version"))
+    keyed = target.withColumns({"_outer": kind, "_key": key})
+    by = ["_outer", "_key", "source_id"]
+    other = ~F.col("data_package_id").eqNullSafe(F.col("_package"))
+    may = version.isNotNull() & (F.col("valid_from") < F.col("_from")) & other
+    last = keyed.join(firsts, by).where(may).groupBy(*by).agg(
+        F.max("valid_to").alias("_latest"), F.any_value("_from").alias("_from"), F.any_value("_package").alias("_package")
+    )
+    ends = may & (F.col("valid_to") == F.col("_latest"))
+    found = keyed.join(last, by, "left")
+    return found.withColumn("valid_to", F.when(ends, F.col("_from")).otherwise(F.col("valid_to"))).select(*target.columns)
 
 
-def _latest(target: DataFrame, id: str, ordinal: str) -> DataFrame:
-    """(id, source_id, its row's id and end) of the latest row of every outer series."""
-    newest = Window.partitionBy(id, "source_id").orderBy(F.col(ordinal).desc_nulls_last(), F.col("valid_from").desc(), F.col("version").desc())
-    ranked = target.where(F.col(id).isNotNull()).withColumn("_rank", F.row_number().over(newest)).where("_rank = 1")
-    return ranked.select(id, "source_id", F.col("id").alias(f"_{id}_id"), F.col("valid_to").alias(f"_{id}_to"))
+def _latest(target: DataFrame, staged: DataFrame, id: str, ordinal: str) -> DataFrame:
+    """(id, source_id, its row's id and end) of the outer series that are staged: the id is that of the row
+    that begins last, the end that of the one with the highest ordinal number (rows without one before all
+    others), of equals the one that begins last."""
+    by = [id, "source_id"]
+    begin = F.struct(F.col("valid_from"), F.col("version"))
+    order = F.struct(F.col(ordinal).isNull(), F.col(ordinal), F.col("valid_from"), F.col("version"))
+    rows = target.where(F.col(id).isNotNull()).join(staged.select(*by).distinct(), by, "left_semi")
+    return rows.groupBy(*by).agg(F.max_by("id", begin).alias(f"_{id}_id"), F.max_by("valid_to", order).alias(f"_{id}_to"))
 
 
 def new_versions(target: DataFrame, package: DataFrame, run_ts: Column) -> DataFrame:
@@ -163,12 +203,11 @@ def new_versions(target: DataFrame, package: DataFrame, run_ts: Column) -> DataF
     Staged versions stay for rows with an outer version; others get new numbers. The first row of a
     series begins where it says, else now if it came with an id, else where the latest row ends, else at
     the open start; successors begin where they say, else now."""
-    found = package.join(_latest(target, "external_id", "external_version_ordinal_num"), ["external_id", "source_id"], "left")
-    found = found.join(
-        _latest(target.where("external_id IS NULL"), "meta_id", "meta_version_ordinal_num"), ["meta_id", "source_id"], "left"
-    )
+    outer_rows, inner = _latest(target, package, "external_id", "external_version_ordinal_num"), target.where("external_id IS NULL")
+    found = package.join(outer_rows, ["external_id", "source_id"], "left")
+    found = found.join(_latest(inner, package, "meta_id", "meta_version_ordinal_num"), ["meta_id", "source_id"], "left")
     known = F.coalesce("id", "_external_id_id", F.when(F.col("external_id").isNull(), F.col("_meta_id_id")))
-    found = found.withColumn("_known", known)
+    found = written(found.withColumn("_known", known), "staged")  # numbered, and joined with its numbers
     series = ["external_id", "meta_id", "source_id"]
     outer = F.col("external_id").isNotNull() | F.col("meta_id").isNotNull()
     firsts = found.where((F.col("version_ordinal") == 1) & F.col("_known").isNull())
@@ -199,17 +238,18 @@ def new_versions(target: DataFrame, package: DataFrame, run_ts: Column) -> DataF
             "record_date": run_ts,
         }
     )
-    found = found.withColumn("id", F.col("_id")).withColumn("valid_from", F.col("_from"))
-    return with_new_ids(found.select(*target.columns, "data_package_rn") if "data_package_rn" not in target.columns else found.select(*target.columns), high_water(target, "version"), "version").select(*target.columns)
+    found = found.withColumns({"id": F.col("_id"), "valid_from": F.col("_from")})
+    columns = list(dict.fromkeys([*target.columns, "data_package_rn"]))
+    return with_new_ids(found.select(*columns), high_water(target, "version"), "version").select(*target.columns)
 
 
 def merge_temporal(target: DataFrame, package: DataFrame, run_ts: Column, check: bool = True) -> DataFrame:
     """target after a package of versions: closed ones, replaced ones (same id and version) and new ones."""
     if check:
         check_actuality(target, package)
-    ordered = with_version_order(package)
-    closed = close_meta(close_external(close_internal(target, package, run_ts), ordered), ordered)
-    fresh = new_versions(target, ordered, run_ts)
+    ordered = written(with_version_order(package), "ordered")
+    closed = close_outer(close_internal(target, package, run_ts), ordered)
+    fresh = written(new_versions(target, ordered, run_ts), "versions")
     return closed.join(fresh.select("id", "version"), ["id", "version"], "left_anti").unionByName(fresh)
 
 
