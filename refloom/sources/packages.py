@@ -15,7 +15,9 @@ from refloom.plans.catalog import Catalog
 from refloom.sources.store import Store
 
 HEADER = "id long, type string, source string, lang string, is_deletion boolean, state string, create_date timestamp_ntz, state_change_date timestamp_ntz"
-DEFAULT_LANGUAGE = "en"
+HEADERS, STATISTICS = "data_package", "table_stat_explicit_update_log"
+UPDATES = "table_name string, update_time timestamp_ntz, data_package_id long"
+MANUAL, DEFAULT_LANGUAGE = "manual data entry", "en"
 
 
 @dataclass
@@ -30,9 +32,15 @@ class Package:
     state_change_date: dt.datetime
 
 
+def state_counts(headers: DataFrame) -> DataFrame:
+    """(type, state, n, last_change) of packages."""
+    return headers.groupBy("type", "state").agg(F.count("*").alias("n"), F.max("state_change_date").alias("last_change"))
+
+
 class Engine:
-    """Entities, staged packages and logs in a store. Headers are few and live with the driver's manifest;
-    data never leaves the executors."""
+    """Entities, staged packages and logs in a store. One header reaches the driver at a time; data never does.
+    What a package changes (entity, translations, logs, its own state) is one commit of the store, so a
+    package that was interrupted can be processed again."""
 
     def __init__(self, spark: SparkSession, store: Store, catalog: Catalog, languages: dict[str, str] | None = None):
         self.spark, self.store, self.catalog = spark, store, catalog
@@ -43,23 +51,34 @@ class Engine:
         #: Called with an entity's name before its data change.
         self.on_change: list[Callable[[str], None]] = []
 
-    def packages(self) -> dict[int, Package]:
-        if not self.store.exists("data_package"):
-            return {}
-        return {r["id"]: Package(**r.asDict()) for r in self.store.read("data_package").collect()}  # headers only
+    # ---- headers
+
+    def headers(self) -> DataFrame:
+        return self.store.read(HEADERS) if self.store.exists(HEADERS) else self.spark.createDataFrame([], HEADER)
+
+    def package(self, id: int) -> Package:
+        found = self.headers().where(F.col("id") == id).first()
+        if found is None:
+            raise KeyError(id)
+        return Package(**found.asDict())
 
-    def _save(self, packages: dict[int, Package]) -> None:
-        rows = [tuple(asdict(p).values()) for p in packages.values()]
-        self.store.write("data_package", self.spark.createDataFrame(rows, HEADER).coalesce(1))
+    def _with(self, p: Package) -> dict:
+        """The entry of the headers with one of them new or changed."""
+        now = self.spark.createDataFrame([tuple(asdict(p).values())], HEADER)
+        return self.store.written(HEADERS, self.headers().where(F.col("id") != p.id).unionByName(now).coalesce(1))
+
+    def default_language(self) -> str:
+        """That of the source of manual entries, else English."""
+        return self.languages.get(MANUAL, DEFAULT_LANGUAGE)
 
     def register(self, type: str, source: str, run_ts: dt.datetime, lang: str | None = None, is_deletion: bool = False) -> Package:
         """A new package in the loaded state. The language is the one given, else its source's, else the default."""
         if type not in self.catalog.types:
             raise KeyError(type)
-        every = self.packages()
-        found = lang or self.languages.get(source) or DEFAULT_LANGUAGE
-        new = Package(max(every, default=0) + 1, type, source, found, is_deletion, LOADED, run_ts, run_ts)
-        self._save(every | {new.id: new})
+        version = self.store.manifest(HEADERS)["version"]
+        found = lang or self.languages.get(source) or self.default_language()
+        new = Package(merge.high_water(self.headers(), "id") + 1, type, source, found, is_deletion, LOADED, run_ts, run_ts)
+        self.store.commit({HEADERS: self._with(new)}, {HEADERS: version})
         return new
 
     def stage(self, package: Package, rows: DataFrame) -> None:
@@ -69,69 +88,84 @@ class Engine:
         columns = [(F.col(f.name) if f.name in own.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted]
         self.store.write(f"staging_{package.id}", own.select(*columns))
 
+    # ---- processing
+
     def process(self, id: int, run_ts: dt.datetime, check_date: dt.datetime | None = None) -> dt.datetime:
         """Merge a loaded package into its entity; the new check date. A check date that isn't the package's
         state change, or a state that isn't loaded, is refused. A package without rows is only marked."""
-        every = self.packages()
-        p = every[id]
+        version = self.store.manifest(HEADERS)["version"]
+        p = self.package(id)
         if check_date is not None and check_date != p.state_change_date:
             raise PackageError(f"package {id} was changed by another")
         if p.state != LOADED:
             raise PackageError(f"package {id} is {p.state}")
         rows = self.store.read(f"staging_{id}") if self.store.exists(f"staging_{id}") else None
-        if rows is not None and not rows.limit(1).isEmpty():
+        full = rows is not None and not rows.limit(1).isEmpty()
+        changes, expected = {}, {HEADERS: version}
+        if full:
             for call in self.on_change:
                 call(p.type)
-            self._merge(p, rows, run_ts)
-            if p.type in self.after:
-                self.after[p.type](id)
+            expected |= {t: self.store.manifest(t)["version"] for t in (p.type, f"{p.type}_lc", f"{p.type}_log", STATISTICS)}
+            changes = self._merged(p, rows, run_ts)
         p.state, p.state_change_date = PROCESSED, run_ts
-        self._save(every)
+        self.store.commit(changes | {HEADERS: self._with(p)}, expected)
+        if full and p.type in self.after:
+            self.after[p.type](id)
         return run_ts
 
-    def _merge(self, p: Package, rows: DataFrame, run_ts: dt.datetime) -> None:
+    def _current(self, table: str, schema) -> DataFrame:
+        return self.store.read(table) if self.store.exists(table) else self.spark.createDataFrame([], schema)
+
+    def _merged(self, p: Package, rows: DataFrame, run_ts: dt.datetime) -> dict[str, dict]:
+        """Entries of the tables that a package changes."""
         own, now = self.catalog.types[p.type], F.lit(run_ts).cast("timestamp_ntz")
-        schema = self.catalog.schema(p.type)
-        target = self.store.read(p.type) if self.store.exists(p.type) else self.spark.createDataFrame([], schema)
-        version = self.store.manifest(p.type)["version"]
+        target = self._current(p.type, self.catalog.schema(p.type))
         if own.temporal:
             after = merge.delete_temporal(target, rows, now) if p.is_deletion else merge.merge_temporal(target, rows, now)
         else:
             after = merge.delete_plain(target, rows) if p.is_deletion else merge.upsert_plain(target, rows, now)
-        self.store.write(p.type, after, version)
-        self._translate(p, rows, target)
+        out = {p.type: self.store.written(p.type, after)}
+        after = self.store.state(p.type, out[p.type]["folder"])
+        out |= self._translated(p, rows, target, after)
         if own.logged:
             key = ["id", "version"] if own.temporal else ["id"]
-            changes = cdc.diff_snapshots(target, self.store.read(p.type), key)
             logged = [f.name for f in self.catalog.schema(p.type, "log")][3:]
-            log = cdc.audit_log(changes, logged, key, now, f"package {p.id}")
-            old = [self.store.read(f"{p.type}_log")] if self.store.exists(f"{p.type}_log") else []
-            self.store.write(f"{p.type}_log", old[0].unionByName(log) if old else log)
+            log = cdc.audit_log(cdc.diff_snapshots(target, after, key), logged, key, now, f"package {p.id}")
+            out[f"{p.type}_log"] = self.store.written(f"{p.type}_log", self._current(f"{p.type}_log", log.schema).unionByName(log))
+        told = self.spark.createDataFrame([(t, run_ts, p.id) for t in out if not t.endswith("_log")], UPDATES)
+        out[STATISTICS] = self.store.written(STATISTICS, self._current(STATISTICS, UPDATES).unionByName(told).coalesce(1))
+        return out
 
-    def _translate(self, p: Package, rows: DataFrame, before: DataFrame) -> None:
+    def _translated(self, p: Package, rows: DataFrame, before: DataFrame, after: DataFrame) -> dict[str, dict]:
         local = [a.name for a in self.catalog.attributes(p.type) if a.localisable]
         if not local:
-            return
-        table = f"{p.type}_lc"
-        lc = self.store.read(table) if self.store.exists(table) else self.spark.createDataFrame([], "master_id long, attr string, lang string, lc_string string")
+            return {}
+        table, temporal = f"{p.type}_lc", self.catalog.types[p.type].temporal
+        lc = self._current(table, self.catalog.schema(p.type, "lc"))
         if p.is_deletion:
-            after = merge.delete_details(lc, before, rows)
+            found = merge.delete_version_details(lc, before, rows) if temporal else merge.delete_details(lc, before, rows)
         else:
-            numbered = self.store.read(p.type).where(F.col("data_package_id") == p.id).select(F.col("id").alias("master_id"), "data_package_rn")
-            changes = merge.unpivoted(rows, local, ["data_package_rn"]).join(numbered, "data_package_rn").withColumn("lang", F.lit(p.lang))
-            after = merge.upsert_localised(lc, changes, ("master_id", "attr", "lang"))
-        self.store.write(table, after)
+            own = {"master_id": "id"} | ({"master_version": "version"} if temporal else {})
+            numbered = after.where(F.col("data_package_id") == p.id)
+            numbered = numbered.select(*(F.col(c).alias(n) for n, c in own.items()), "data_package_rn")
+            changes = merge.unpivoted(rows, local, ["data_package_rn"]).join(numbered, "data_package_rn").withColumn("lang_id", F.lit(p.lang))
+            found = merge.upsert_localised(lc, changes, (*own, "attr", "lang_id"))
+        return {table: self.store.written(table, found)}
+
+    # ---- the end of a package
 
     def discard(self, id: int, run_ts: dt.datetime) -> None:
-        every = self.packages()
-        every[id].state, every[id].state_change_date = DISCARDED, run_ts
-        self._save(every)
+        version, p = self.store.manifest(HEADERS)["version"], self.package(id)
+        p.state, p.state_change_date = DISCARDED, run_ts
+        self.store.commit({HEADERS: self._with(p)}, {HEADERS: version})
 
     def delete(self, id: int) -> None:
         """A package's header and staged rows."""
-        every = self.packages()
-        del every[id]
-        self._save(every) if every else self.store.write("data_package", self.spark.createDataFrame([], HEADER))
-        if self.store.exists(f"staging_{id}"):
-            self.store.write(f"staging_{id}", self.store.read(f"staging_{id}").limit(0))
-            self.store.vacuum(f"staging_{id}")
+        version, staged = self.store.manifest(HEADERS)["version"], f"staging_{id}"
+        self.package(id)
+        changes = {HEADERS: self.store.written(HEADERS, self.headers().where(F.col("id") != id).coalesce(1))}
+        if self.store.exists(staged):
+            changes[staged] = self.store.written(staged, self.store.read(staged).limit(0))
+        self.store.commit(changes, {HEADERS: version})
+        if staged in changes:
+            self.store.vacuum(staged)

@@ -9,25 +9,36 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from refloom.operators.merge import last_of_package
+from refloom.session import written
 from refloom.sources.store import Store
 
+#: Parts of a table that a stream is merged into.
+BUCKETS = 64
+
 
 def upsert_stream(rows: DataFrame, store: Store, table: str, key: str, order: str, checkpoint: str) -> DataStreamWriter:
     """A writer that merges each micro-batch of a stream into a table of a store: the last row of each key
-    wins. The number of the last batch is kept in the table's manifest name space, so a batch that is
-    sent again after a failure changes nothing."""
+    wins. The table is kept in BUCKETS parts by its key, and only those that a batch touches are written
+    anew. The number of the last batch is part of the same commit, so a batch that is sent again after a
+    failure changes nothing."""
+    marks = f"{table}_batches"
+    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
 
     def merge(batch: DataFrame, number: int) -> None:
-        marks = f"{table}_batches"
-        done = store.read(marks).first()[0] if store.exists(marks) else -1
-        if number <= done:
+        done = store.manifest(marks)
+        if number <= done.get("number", -1):
             return
-        staged = last_of_package(batch, key, order=order)
-        if store.exists(table):
-            old = store.read(table)
-            staged = old.join(staged.select(key), key, "left_anti").unionByName(staged)
-        store.write(table, staged)
-        store.write(marks, batch.sparkSession.createDataFrame([(number,)], "number long").coalesce(1))
+        old = store.manifest(table)
+        staged = written(last_of_package(batch, key, order=order), "batch")
+        touched = sorted(str(r[0]) for r in staged.select(bucket).distinct().collect())  # BUCKETS at most
+        if touched:
+            if filled := [b for b in touched if old["chunks"].get(b)]:
+                before = store.read_chunks(table, filled)
+                staged = before.join(staged.select(key), key, "left_anti").unionByName(staged)
+            entry = store.written_chunks(table, staged, bucket, touched, old)
+        else:
+            entry = {}
+        store.commit({table: entry, marks: {"number": number}}, {table: old["version"], marks: done["version"]})
 
     return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 
