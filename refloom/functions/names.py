@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,27 +121,42 @@ def whole_percent(part: Column, total: Column) -> Column:
     return F.concat(F.round(F.try_divide((part - total) * 100, total)).cast("long").cast("string"), F.lit("%"))
 
 
-_BLOCK = re.compile(
-    r"/\*\s*#if\s+#server_major_version\s*(>=|<=|>|<|=)\s*(\d+)\s*\*/(.*?)/\*\s*#endif\s*\*/", re.DOTALL
-)
-_COMPARE = {">=": int.__ge__, "<=": int.__le__, ">": int.__gt__, "<": int.__lt__, "=": int.__eq__}
+_BLOCK = r"(?s)/\*\s*#if\s+#server_major_version\s*(>=|<=|>|<|=)\s*(\d+)\s*\*/(.*?)/\*\s*#endif\s*\*/"
+_SPACE_AROUND = r"^\s+|\s+$"
 
 
-def expand_compatibility_macros(code: str, level: int | None) -> str:
+def expand_compatibility_macros(code: Column, level: Column) -> Column:
     """code with its conditional comment blocks resolved for a version; below 12 no materialisation fence.
     Without a version it stays as it is. Versions are compared as numbers."""
-    if level is None:
-        return code
 
-    def chosen(m: re.Match) -> str:
-        then, *other = re.split(r"/\*\s*#else\s*\*/", m[3])
-        if _COMPARE[m[1]](level, int(m[2])):
-            return re.sub(r"/\*\s*#then\s*\*/", "", then).strip()
+    def chosen(block: Column) -> Column:
+        sign, number = (F.regexp_extract(block, _BLOCK, i) for i in (1, 2))
+        number = number.cast("int")
+        halves = F.split(F.regexp_extract(block, _BLOCK, 3), r"/\*\s*#else\s*\*/")
+        then = F.regexp_replace(F.get(halves, F.lit(0)), r"/\*\s*#then\s*\*/", "")
         # the other branch stands in a comment, so that the code is valid as it is
-        return re.sub(r"^/\*|\*/$", "", other[0].strip()).strip() if other else ""
-
-    out = _BLOCK.sub(chosen, code)
-    return re.sub(r"\bas\s+(not\s+)?materialized\b", "as", out) if level < 12 else out
+        other = F.regexp_replace(F.coalesce(F.get(halves, F.lit(1)), F.lit("")), _SPACE_AROUND, "")
+        other = F.regexp_replace(other, r"^/\*|\*/$", "")
+        holds = (
+            F.when(sign == ">=", level >= number)
+            .when(sign == "<=", level <= number)
+            .when(sign == ">", level > number)
+            .when(sign == "<", level < number)
+            .otherwise(level == number)
+        )
+        return F.regexp_replace(F.when(holds, then).otherwise(other), _SPACE_AROUND, "")
+
+    blocks = F.transform(F.regexp_extract_all(code, F.lit(_BLOCK), F.lit(0)), chosen)
+    between = F.split(code, _BLOCK, -1)
+    rest = F.zip_with(blocks, F.slice(between, 2, F.size(blocks)), lambda a, b: F.concat(a, b))
+    out = F.concat(F.get(between, F.lit(0)), F.array_join(rest, ""))
+    plain = F.regexp_replace(out, r"\bas\s+(not\s+)?materialized\b", "as")
+    return F.when(level.isNull(), code).when(level < 12, plain).otherwise(out)
+
+
+def target_routine_name(signature: Column) -> Column:
+    """A routine's name with its argument types, without the schema before it."""
+    return F.regexp_replace(signature, r"^[^.(]+\.", "")
 
 
 def month_names(spark: SparkSession, languages: list[tuple[str, str]]) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from refloom.functions.names import pretty_size, whole_percent
+from refloom.plans.graph import closure
 
 
 def seconds(start: str, end: str) -> Column:
@@ -90,6 +91,29 @@ def maintenance_mode(locks: DataFrame, views: DataFrame, now: Column) -> DataFra
     return fresh.unionAll(empty.limit(1)).limit(1)
 
 
+def outdated_statistics(log: DataFrame, now: Column, hours: int = 1) -> DataFrame:
+    """(table_name, last_update, is_outdated) of a log (table_name, update_time): an hour old or more."""
+    last = log.groupBy("table_name").agg(F.max("update_time").alias("last_update"))
+    return last.withColumn("is_outdated", F.timestamp_diff("MICROSECOND", F.col("last_update"), now) >= hours * 3_600_000_000)
+
+
+def update_statistics(spark: SparkSession, tables: DataFrame) -> list[str]:
+    """Analyze the tables of the session's catalogue that are outdated (table_name, is_outdated); their names."""
+    names = [r[0] for r in tables.where("is_outdated").select("table_name").collect()]  # names of tables
+    for name in names:
+        spark.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS FOR ALL COLUMNS")
+    return names
+
+
+def snapshot_objects(objects: DataFrame, uses: DataFrame, schemas: list[str], include_tables: bool = False) -> DataFrame:
+    """The objects (id, kind, schema_name) of a snapshot: views and routines of some schemas, their tables if asked
+    for, and the tables and views, of any schema, that those routines use, directly or not. uses: (view_id, master_id)."""
+    own = objects.where(F.col("schema_name").isin(*schemas) & F.col("kind").isin("view", "routine", *(["table"] if include_tables else [])))
+    used = closure(uses, own.where("kind = 'routine'").select(F.col("id").alias("root")))
+    beside = objects.where("kind IN ('view', 'table')").join(used.select(F.col("node").alias("id")), "id", "left_semi")
+    return own.unionByName(beside).dropDuplicates(["id"])
+
+
 def report_year(today: dt.date) -> tuple[dt.date, dt.date]:
     """The year of the month before this one, end excluded."""
     first = today.replace(day=1) - dt.timedelta(days=1)

@@ -48,6 +48,23 @@ def plan_evolution(old: T.StructType, new: T.StructType, old_key: str | None = N
     return Plan(bool(reasons), tuple(reasons))
 
 
+def rebuild_reasons(diff: DataFrame, old_key: str | None, new_key: str | None, force: bool = False) -> DataFrame:
+    """One row (is_rebuilt, reasons) from a difference of schemas: the reasons of plan_evolution, joined by commas, null
+    if there is none."""
+
+    def names(side: str):
+        found = F.collect_list(F.when(F.col("action").isin("keep", "alter"), F.struct(f"{side}_position", "column_name")))
+        return F.transform(F.array_sort(found), lambda x: x["column_name"])
+
+    reasons = F.concat_ws(
+        ", ",
+        F.lit("forced" if force else None).cast("string"),
+        F.lit("partitioning" if old_key != new_key else None).cast("string"),
+        F.when(names("old") != names("new"), "order"),
+    )
+    return diff.agg(F.nullif(reasons, F.lit("")).alias("reasons")).select(F.col("reasons").isNotNull().alias("is_rebuilt"), "reasons")
+
+
 def evolve(df: DataFrame, schema: T.StructType, defaults: dict[str, object] | None = None, lose: bool = False) -> DataFrame:
     """df in a new schema: common columns are cast (what can't be cast at all is emptied if it may be
     lost, else refused; single values that don't fit fail as the session's ANSI mode says), new ones

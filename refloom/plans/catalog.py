@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from refloom.plans.graph import closure
+
 PRIMITIVES = ("s", "n", "d", "b", "id")
 TYPES = "id long, internal_name string, super_type_id long, master_type_id long, is_abstract boolean, is_temporal boolean, is_logged boolean"
 ATTRIBUTES = (
@@ -36,6 +38,8 @@ class Attribute:
     temporal_only: bool = False
     logged: bool = False
     default: str | None = None
+    #: Rows that refer to a deleted row go with it.
+    cascade: bool = False
 
 
 @dataclass
@@ -48,6 +52,49 @@ class EntityType:
     temporal: bool = False
     logged: bool = False
     built: bool = False
+    #: Rows may have others of their type above them.
+    hierarchical: bool = False
+
+
+#: Rows that every installation begins with; fixed values.
+LANGUAGES = [(1, "ru", "RU"), (2, "en", "US")]
+SOURCES = [(1, "manual data entry")]
+DBMS_TYPES = [(1, "postgresql")]
+EXPRESSIONS = [(1, "bool.true"), (2, "bool.false"), (3, "timestamp.current"), (4, "undefined_min_date"), (5, "undefined_max_date")]
+PACKAGE_STATES = [(1, "loaded"), (2, "processed"), (3, "discarded")]
+NAMES = [("source", "manual data entry", "ru", "Ручной ввод данных"), ("source", "manual data entry", "en", "Manual data entry")]
+
+
+def seed_rows(spark: SparkSession) -> DataFrame:
+    """(table_name, id, code, detail) of the rows that every installation begins with."""
+    rows = [("language", i, tag, country) for i, tag, country in LANGUAGES]
+    for name, values in (("source", SOURCES), ("dbms_type", DBMS_TYPES), ("meta_expr", EXPRESSIONS), ("data_package_state", PACKAGE_STATES)):
+        rows += [(name, i, code, None) for i, code in values]
+    return spark.createDataFrame(rows, "table_name string, id long, code string, detail string")
+
+
+def seed_names(spark: SparkSession) -> DataFrame:
+    """(table_name, code, lang, lc_string): translations of these rows."""
+    return spark.createDataFrame(NAMES, "table_name string, code string, lang string, lc_string string")
+
+
+def described_by_itself() -> list[EntityType]:
+    """The types of the catalogue's own tables."""
+    a = Attribute
+    named = [a("internal_name", "s", 63, required=True, unique=True), a("name", "s", localisable=True, required=True)]
+    return [
+        EntityType("language", [a("tag", "s", 63, required=True, unique=True), a("name", "s", localisable=True), a("default_country", "s", 63)]),
+        EntityType("meta_schema", [*named, a("is_external", "b", default="false"), a("is_disabled", "b", default="false")]),
+        EntityType("meta_type_group", [*named, a("description", "s", localisable=True)], hierarchical=True),
+        EntityType("meta_type", [*named, a("schema_id", "meta_schema"), a("group_id", "meta_type_group"), a("is_hierarchical", "b", default="false"), a("is_built", "b", default="false"), a("is_logged", "b", default="false")]),
+        EntityType("dbms_type", [a("code", "s", 63, required=True, unique=True), a("name", "s", localisable=True, required=True)]),
+        EntityType("meta_expr", [a("tag", "s", 63, required=True, unique=True)]),
+        EntityType("meta_expr_body", [a("dbms_type_id", "dbms_type", required=True), a("body", "s", required=True)], master="meta_expr"),
+        EntityType("meta_attribute", [*named, a("attr_type_id", "meta_type", required=True), a("default_value", "meta_expr"), a("fk_on_delete_cascade", "b", default="false"), a("is_logged", "b", default="false")], master="meta_type"),
+        EntityType("meta_view", [a("internal_name", "s", 63, required=True), a("schema_id", "meta_schema"), a("query", "s"), a("is_routine", "b", default="false")]),
+        EntityType("file_attachment", [a("attachment", "s")]),
+        EntityType("data_package_attachment", [a("data_package_id", "id", required=True), a("attachment_id", "file_attachment", required=True)]),
+    ]
 
 
 def _builtin() -> list[EntityType]:
@@ -156,7 +203,7 @@ class Catalog:
         fields = []
         if role == "lc":
             master = [("master_id", T.LongType()), *([("master_version", T.LongType())] if own.temporal else [])]
-            rest = [("attr", T.StringType()), ("lang_id", T.LongType()), ("lc_string", T.StringType()), ("is_default_value", T.BooleanType())]
+            rest = [("attr", T.StringType()), ("lang_id", T.StringType()), ("lc_string", T.StringType()), ("is_default_value", T.BooleanType())]
             return T.StructType([T.StructField(n, t, False) for n, t in [*master, *rest]])
         if role == "log":
             head = [("change_date", T.TimestampNTZType()), ("session_context", T.StringType()), ("operation", T.StringType())]
@@ -221,6 +268,37 @@ def resolve_attributes(types: DataFrame, attributes: DataFrame) -> DataFrame:
     )
 
 
+def having_attribute(types: DataFrame, attributes: DataFrame, name: str) -> DataFrame:
+    """(type_id, has_attribute, has_localisation) of every type, inherited attributes and a master's reference
+    counted."""
+    local = attributes.select(F.col("id").alias("attr_id"), "is_localisable")
+    resolved = resolve_attributes(types, attributes).join(local, "attr_id", "left")
+    found = resolved.groupBy("type_id").agg(
+        F.bool_or(F.col("internal_name") == name).alias("a"), F.bool_or(F.coalesce("is_localisable", F.lit(False))).alias("b")
+    )
+    every = types.select(F.col("id").alias("type_id")).join(found, "type_id", "left")
+    return every.select("type_id", *(F.coalesce(c, F.lit(False)).alias(n) for c, n in (("a", "has_attribute"), ("b", "has_localisation"))))
+
+
+def table_columns(catalog: Catalog, spark: SparkSession, roles: tuple[str, ...] = ("target", "staging", "lc", "log", "invalidated_chunk")) -> DataFrame:
+    """(type_name, role, column_name, column_type, is_nullable, ordinal_position) of the tables of all concrete
+    types; logs only of logged ones, translations only where something can be translated."""
+    rows = []
+    for t in catalog.types.values():
+        for role in roles:
+            if t.abstract or role == "log" and not t.logged or role == "lc" and not catalog.has_localisation(t.name):
+                continue
+            rows += [(t.name, role, f.name, f.dataType.simpleString(), f.nullable, i) for i, f in enumerate(catalog.schema(t.name, role), 1)]
+    return spark.createDataFrame(rows, "type_name string, role string, column_name string, column_type string, is_nullable boolean, ordinal_position int")
+
+
+def without_type(types: DataFrame, gone: DataFrame) -> DataFrame:
+    """types without some (id) and all that inherit from them or are their details."""
+    up = types.select(F.col("id").alias("view_id"), F.explode(F.array("super_type_id", "master_type_id")).alias("master_id"))
+    below = closure(up.where("master_id IS NOT NULL"), gone.select(F.col("id").alias("root")), masters=False)
+    return types.join(gone.select("id").union(below.select("node")).distinct(), "id", "left_anti")
+
+
 def resolve_types(types: DataFrame, attributes: DataFrame) -> DataFrame:
     """(type_id, internal_name, is_temporal, non_localisable, localisable): concrete types with the names of
     their attributes, joined in order; null where there is none."""

@@ -1,13 +1,18 @@
 """Graphs of types and views: levels, closures, what may be refreshed next.
 
-A graph has one row for each dependency of a catalogue; recursion runs in Spark SQL.
+A graph has one row for each dependency of a catalogue. Closures go step by step, each a join of what the
+step before has reached with the edges.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from refloom.session import written
+
 #: Characters of a name by which generated names of two partitioned views could clash.
 NAME_GROUP = 28
 
@@ -18,8 +23,32 @@ def _recursive(df: DataFrame, text: str, **tables: DataFrame) -> DataFrame:
 
 def closure(edges: DataFrame, roots: DataFrame, masters: bool = True, level_limit: int | None = None) -> DataFrame:
     """(root, node, level): everything that the roots depend on (negative levels) or that depends on them
-    (positive), by the longest way that meets no node twice. edges: (view_id, master_id); roots: (root)."""
+    (positive), by the longest way that meets no node twice, and of level_limit steps at most. edges:
+    (view_id, master_id); roots: (root).
+
+    Without a cycle the longest way is the last step that reaches a node: each step joins the nodes reached
+    by the one before, each once, with the edges, whatever the number of ways. Where steps don't end there
+    is a cycle, and the ways themselves are followed, none over a node twice."""
     here, there, sign = ("view_id", "master_id", -1) if masters else ("master_id", "view_id", 1)
+    if level_limit is not None:  # a cycle may lie beyond it
+        return _ways(edges, roots, here, there, sign, level_limit)
+    pairs = edges.select(F.col(here).alias("node"), F.col(there).alias("next")).where("node != next").distinct()
+    pairs = written(pairs.where("next IS NOT NULL"), "edges")
+    most = pairs.select("node").distinct().count() + 1  # no way is longer
+    steps = [written(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("level")).distinct(), "step-0")]
+    for i in range(1, most + 1):
+        step = steps[-1].join(pairs, "node").select("root", F.col("next").alias("node")).distinct()
+        step = written(step.withColumn("level", F.lit(i)), f"step-{i}")
+        if step.where("root = node").limit(1).count() or i == most and step.limit(1).count():
+            return _ways(edges, roots, here, there, sign, level_limit)
+        steps.append(step)
+        if not step.limit(1).count():
+            break
+    walked = reduce(DataFrame.unionByName, steps[1:], steps[0]).where("level > 0")
+    return walked.groupBy("root", "node").agg((F.max("level") * sign).cast("int").alias("level"))
+
+
+def _ways(edges: DataFrame, roots: DataFrame, here: str, there: str, sign: int, level_limit: int | None) -> DataFrame:
     limit = f"AND abs(w.level) < {int(level_limit)}" if level_limit is not None else ""
     walked = _recursive(
         edges,
@@ -33,7 +62,7 @@ def closure(edges: DataFrame, roots: DataFrame, masters: bool = True, level_limi
         roots=roots,
         edges=edges,
     )
-    pick = F.min("level") if masters else F.max("level")
+    pick = F.min("level") if sign < 0 else F.max("level")
     return walked.groupBy("root", "node").agg(pick.cast("int").alias("level"))
 
 
@@ -45,19 +74,19 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def inherited_edges(edges: DataFrame) -> DataFrame:
-    """(view_id, master_id, level): edges with those that follow from them, at the shortest distance."""
-    walked = _recursive(
-        edges,
-        """WITH RECURSIVE w(view_id, master_id, level, path) AS (
-            SELECT view_id, master_id, 1, array(view_id, master_id) FROM {edges}
-            UNION ALL
-            SELECT w.view_id, e.master_id, w.level + 1, array_append(w.path, e.master_id)
-            FROM w JOIN {edges} e ON e.view_id = w.master_id
-            WHERE NOT array_contains(w.path, e.master_id))
-        SELECT view_id, master_id, level FROM w""",
-        edges=edges,
-    )
-    return walked.groupBy("view_id", "master_id").agg(F.min("level").cast("int").alias("level"))
+    """(view_id, master_id, level): edges with those that follow from them, at the shortest distance: a pair
+    counts at the first step that reaches it, so that cycles end by themselves. A node isn't its own master."""
+    pairs = written(edges.select("view_id", "master_id").where("view_id != master_id").distinct(), "edges")
+    step = known = written(pairs.withColumn("level", F.lit(1)), "step-1")
+    ahead = pairs.toDF("master_id", "next")
+    level = 1
+    while step.limit(1).count():
+        level += 1
+        far = step.join(ahead, "master_id").select("view_id", F.col("next").alias("master_id")).where("view_id != master_id")
+        fresh = far.distinct().join(known, ["view_id", "master_id"], "left_anti")
+        step = written(fresh.withColumn("level", F.lit(level)), f"step-{level}")
+        known = written(known.unionByName(step), "known")
+    return known
 
 
 def orderliness_edges(views: DataFrame, edges: DataFrame) -> DataFrame:

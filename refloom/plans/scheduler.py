@@ -6,7 +6,10 @@ import time
 from collections.abc import Callable, Hashable, Iterable
 from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from refloom.plans.graph import levels
 
 MOST_WORKERS, MOST_SECONDS = 10, 8 * 3600.0
 
@@ -15,17 +18,13 @@ class ScheduleError(RuntimeError):
     """Views wait for each other, time ran out, or one failed."""
 
 
-def waves(masters: dict[Hashable, set[Hashable]]) -> list[list[Hashable]]:
-    """Views in groups that can be refreshed together, each after its masters; a cycle is an error."""
-    left, out = {v: set(m) & masters.keys() - {v} for v, m in masters.items()}, []
-    while left:
-        ready = sorted(v for v, m in left.items() if not m & left.keys())
-        if not ready:
-            raise ScheduleError(f"a cycle among {sorted(left)}")
-        out.append(ready)
-        for v in ready:
-            del left[v]
-    return out
+def waves(pending: DataFrame, edges: DataFrame) -> DataFrame:
+    """(wave, id): pending views by the wave that they can be refreshed in, each after its pending masters. The views
+    of one wave don't depend on each other."""
+    ids = pending.select("id")
+    inner = edges.join(ids.withColumnRenamed("id", "master_id"), "master_id", "left_semi")
+    found = levels(ids, inner.join(ids.withColumnRenamed("id", "view_id"), "view_id", "left_semi"))
+    return found.select(F.col("level").alias("wave"), "id")
 
 
 def refresh_all(
