@@ -37,11 +37,19 @@ def _ts(text: str = RUN):
     return F.lit(text).cast("timestamp_ntz")
 
 
-# ---- fixtures: packages made of orders
+def _values(rows, names_: str) -> str:
+    def text(v):
+        return "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
+
+    return f"(VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) AS t({names_})"
+
+
+# ---- fixtures: packages made of orders. The target holds the orders before 1999; a package sends the urgent and
+# high ones of any time with other prices, another one those in progress once more as new ones.
 
 _FIELDS = "o_custkey AS cust_id, o_orderstatus AS status, o_totalprice AS price, o_orderdate AS order_date"
-_TARGET = f"SELECT o_orderkey AS id, 1 AS data_package_id, o_orderkey AS data_package_rn, 1 AS source_id, {_FIELDS}, TIMESTAMP '2024-01-01' AS record_date FROM orders WHERE o_orderkey % 3 <> 0"
-_PACKAGE = f"SELECT o_orderkey AS id, 2 AS data_package_id, o_orderkey AS data_package_rn, 1 AS source_id, o_custkey AS cust_id, 'P' AS status, round(o_totalprice * 1.1, 2) AS price, o_orderdate AS order_date, TIMESTAMP '{RUN}' AS record_date FROM orders WHERE o_orderkey % 2 = 0"
+_TARGET = f"SELECT o_orderkey AS id, 1 AS data_package_id, o_orderkey AS data_package_rn, 1 AS source_id, {_FIELDS}, TIMESTAMP '2024-01-01' AS record_date FROM orders WHERE o_orderdate < TIMESTAMP '1999-01-01'"
+_PACKAGE = f"SELECT o_orderkey AS id, 2 AS data_package_id, o_orderkey AS data_package_rn, 1 AS source_id, o_custkey AS cust_id, 'P' AS status, CAST(round(CAST(o_totalprice AS DECIMAL(18, 2)) * 1.1, 2) AS DOUBLE) AS price, o_orderdate AS order_date, TIMESTAMP '{RUN}' AS record_date FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')"
 _AFTER = f"SELECT * FROM ({_TARGET}) WHERE id NOT IN (SELECT id FROM ({_PACKAGE})) UNION ALL SELECT * FROM ({_PACKAGE})"
 
 
@@ -59,11 +67,12 @@ def _plain(orders: DataFrame, package: int, status=None, price=None) -> DataFram
 
 
 def target0(spark, sf_dir):
-    return _plain(_t(spark, sf_dir, "orders").where("o_orderkey % 3 <> 0"), 1).withColumn("record_date", _ts("2024-01-01 00:00:00"))
+    return _plain(_t(spark, sf_dir, "orders").where(F.col("o_orderdate") < _ts("1999-01-01 00:00:00")), 1).withColumn("record_date", _ts("2024-01-01 00:00:00"))
 
 
 def package2(spark, sf_dir):
-    return _plain(_t(spark, sf_dir, "orders").where("o_orderkey % 2 = 0"), 2, F.lit("P"), F.round(F.col("o_totalprice") * 1.1, 2))
+    price = F.round(F.col("o_totalprice").cast("decimal(18,2)") * F.lit("1.1").cast("decimal(2,1)"), 2).cast("double")
+    return _plain(_t(spark, sf_dir, "orders").where("o_orderpriority IN ('1-URGENT', '2-HIGH')"), 2, F.lit("P"), price)
 
 
 def after2(spark, sf_dir):
@@ -133,14 +142,25 @@ def txt_type_spec(spark, sf_dir):
     return rows.select("data_type", names.column_type_specification(*(F.col(c) for c in ("data_type", "l", "p", "s", "f"))).alias("spec"))
 
 
-@query()
+@query("""SELECT n_nationkey, r_regionkey, CASE r_regionkey WHEN 0 THEN 'with ' || n_name || ' as /* #if #server_major_version >= ' || n_nationkey || ' */ /* #then */materialized/* #else *//*x*//* #endif */ (select 1)'
+  ELSE 'with ' || n_name || ' as' || CASE WHEN r_regionkey * 5 < n_nationkey THEN ' x' WHEN r_regionkey * 5 < 12 THEN '' ELSE ' materialized' END || ' (select 1)' END AS code FROM nation CROSS JOIN region""")
 def txt_macro(spark, sf_dir):
-    code = "with t as /* #if #server_major_version >= 12 */ /* #then */materialized/* #endif */ (select 1)"
-    rows = [(v, names.expand_compatibility_macros(code, v)) for v in (None, 9, 11, 12, 14)]
-    return spark.createDataFrame(rows, "level int, code string")
+    both = _t(spark, sf_dir, "nation").crossJoin(F.broadcast(_t(spark, sf_dir, "region").select("r_regionkey")))  # 5 versions
+    code = F.concat(F.lit("with "), "n_name", F.lit(" as /* #if #server_major_version >= "), F.col("n_nationkey").cast("string"), F.lit(" */ /* #then */materialized/* #else *//*x*//* #endif */ (select 1)"))
+    level = F.when(F.col("r_regionkey") != 0, F.col("r_regionkey") * 5)
+    return both.select("n_nationkey", "r_regionkey", names.expand_compatibility_macros(code, level).alias("code"))
+
+
+# Full and short names as Java's locales spell them; fixed values.
+_MONTHS = {
+    "ru-RU": ("январь февраль март апрель май июнь июль август сентябрь октябрь ноябрь декабрь", "янв февр март апр май июнь июль авг сент окт нояб дек"),
+    "en-US": ("january february march april may june july august september october november december", "jan feb mar apr may jun jul aug sep oct nov dec"),
+}
+_MONTH_ROWS = [(k, i, long, short) for k, (a, b) in _MONTHS.items() for i, (long, short) in enumerate(zip(a.split(), b.split(), strict=True), 1)]
 
 
-@query()
+@query(f"""SELECT left(locale, 2) AS lang_code, locale, n AS n_month, lpad(n::VARCHAR, 2, '0') AS s_month_mm, short AS s_month_mon, upper(short[1:1]) || short[2:] AS s_month_mon_cap,
+  long AS s_month, upper(long[1:1]) || long[2:] AS s_month_cap, upper(short) AS s_month_mon_uc, upper(long) AS s_month_uc FROM {_values(_MONTH_ROWS, 'locale, n, long, short')}""")
 def cal_month_names(spark, sf_dir):
     return names.month_names(spark, [("ru", "RU"), ("en", "US")])
 
@@ -159,13 +179,6 @@ def _seed(spark):
     return c, *c.frames(spark)
 
 
-def _values(rows, names_: str) -> str:
-    def text(v):
-        return "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
-
-    return f"(VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) AS t({names_})"
-
-
 def _seed_sql() -> tuple[str, str]:
     c = catalog.Catalog(
         [
@@ -241,9 +254,9 @@ def meta_type_levels(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {_UP}, r AS ({_RESOLVED}) SELECT t.internal_name, EXISTS (SELECT 1 FROM r WHERE r.type_id = t.id AND r.internal_name = 'valid_code' OR r.type_id = t.id AND r.internal_name = 'code') AS has_code, EXISTS (SELECT 1 FROM r WHERE r.type_id = t.id AND r.is_localisable) AS has_localisation FROM {_TYPES} t")
 def meta_has_attribute(spark, sf_dir):
-    c, types, _ = _seed(spark)
-    rows = [(n, c.has_attribute(n, "code"), c.has_localisation(n)) for n in c.types]
-    return spark.createDataFrame(rows, "internal_name string, has_code boolean, has_localisation boolean")
+    _, types, attributes = _seed(spark)
+    found = catalog.having_attribute(types, attributes, "code").withColumnsRenamed({"type_id": "id", "has_attribute": "has_code"})
+    return types.select("id", "internal_name").join(found, "id").select("internal_name", "has_code", "has_localisation")
 
 
 # ---- dependencies and scheduling
@@ -334,13 +347,10 @@ def sched_invalidated(spark, sf_dir):
     return graph.invalidated(views_seed(spark), edges_seed(spark), spark.createDataFrame([(2,)], "root long")).select("id", "is_valid")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_walk(f'SELECT id AS root FROM {_PENDING}', f'SELECT * FROM {_EDGES} WHERE master_id IN (SELECT id FROM {_PENDING})', 'view_id', 'master_id')}
+  SELECT max(level)::INT AS wave, root::BIGINT AS id FROM w GROUP BY root""")
 def sched_waves(spark, sf_dir):
-    masters = {r[0]: set() for r in _VIEW_ROWS}
-    for v, m in _EDGE_ROWS:
-        masters[v].add(m)
-    rows = [(i, v) for i, wave in enumerate(scheduler.waves(masters)) for v in wave]
-    return spark.createDataFrame(rows, "wave int, id long")
+    return scheduler.waves(graph.pending(views_seed(spark)), edges_seed(spark))
 
 
 # ---- packages and merges
@@ -351,27 +361,37 @@ def upsert_plain(spark, sf_dir):
     return after2(spark, sf_dir)
 
 
-@query(f"""WITH a AS ({_AFTER}), p AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS rn FROM orders WHERE o_orderkey % 30 = 3)
+@query(f"""WITH a AS ({_AFTER}), p AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS rn FROM orders WHERE o_orderstatus = 'P')
   SELECT * FROM a UNION ALL SELECT (SELECT max(id) FROM a) + rn, 3, o_orderkey, 1, {_FIELDS}, TIMESTAMP '{RUN}' FROM p""")
 def upsert_new_ids(spark, sf_dir):
-    fresh = _plain(_t(spark, sf_dir, "orders").where("o_orderkey % 30 = 3"), 3).withColumn("id", F.lit(None).cast("long"))
+    fresh = _plain(_t(spark, sf_dir, "orders").where("o_orderstatus = 'P'"), 3).withColumn("id", F.lit(None).cast("long"))
     return merge.upsert_plain(after2(spark, sf_dir), fresh, _ts())
 
 
-@query(f"SELECT * FROM ({_AFTER}) WHERE id % 7 <> 0")
+_LEFT = f"SELECT * FROM ({_AFTER}) WHERE id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '5-LOW')"
+
+
+@query(_LEFT)
 def delete_plain(spark, sf_dir):
-    return merge.delete_plain(after2(spark, sf_dir), _t(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("id")))
+    return merge.delete_plain(after2(spark, sf_dir), _t(spark, sf_dir, "orders").where("o_orderpriority = '5-LOW'").select(F.col("o_orderkey").alias("id")))
 
 
-_LC0 = "SELECT doc_id AS master_id, 'name' AS attr, lang AS lang_id, left(text, 40) AS lc_string FROM documents WHERE doc_id % 2 = 0"
-_LC1 = "SELECT doc_id AS master_id, 'name' AS attr, lang AS lang_id, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE upper(left(source, 40)) END AS lc_string FROM documents WHERE doc_id % 3 = 0"
+# Every document is translated into its language; a package sends those of one source again, in their language or as
+# English, the short ones without a text.
+_LC0 = "SELECT doc_id AS master_id, 'name' AS attr, lang AS lang_id, text AS lc_string FROM documents"
+_LC1 = """SELECT doc_id AS master_id, 'name' AS attr, CASE WHEN n_chars > 1000 THEN 'en' ELSE lang END AS lang_id, CASE WHEN n_chars >= 200 THEN source || ': ' || text END AS lc_string
+  FROM documents WHERE source = (SELECT min(source) FROM documents)"""
 _LC2 = f"SELECT * FROM ({_LC0}) WHERE (master_id, lang_id) NOT IN (SELECT (master_id, lang_id) FROM ({_LC1})) UNION ALL SELECT * FROM ({_LC1}) WHERE lc_string IS NOT NULL"
 
 
 def _lc(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents")
-    lc = docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("master_id"), F.lit("name").alias("attr"), F.col("lang").alias("lang_id"), F.left("text", F.lit(40)).alias("lc_string"))
-    staged = docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("master_id"), F.col("lang").alias("lang_id"), F.when(F.col("doc_id") % 11 != 0, F.upper(F.left("source", F.lit(40)))).alias("name"))
+    lc = docs.select(F.col("doc_id").alias("master_id"), F.lit("name").alias("attr"), F.col("lang").alias("lang_id"), F.col("text").alias("lc_string"))
+    first = docs.agg(F.min("source").alias("source"))
+    lang = F.when(F.col("n_chars") > 1000, "en").otherwise(F.col("lang"))
+    staged = docs.join(F.broadcast(first), "source").select(
+        F.col("doc_id").alias("master_id"), lang.alias("lang_id"), F.when(F.col("n_chars") >= 200, F.concat("source", F.lit(": "), "text")).alias("name")
+    )
     return lc, merge.unpivoted(staged, ["name"], ["master_id", "lang_id"])
 
 
@@ -380,10 +400,10 @@ def upsert_localised(spark, sf_dir):
     return merge.upsert_localised(*_lc(spark, sf_dir))
 
 
-@query(f"SELECT * FROM ({_LC0}) WHERE master_id % 5 <> 0")
+@query(f"SELECT * FROM ({_LC0}) WHERE master_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
 def delete_translation(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
-    return merge.delete_details(_lc(spark, sf_dir)[0], docs, docs.where("id % 5 = 0"))
+    return merge.delete_details(_lc(spark, sf_dir)[0], docs, _t(spark, sf_dir, "labels").where("quality = 0").select(F.col("doc_id").alias("id")))
 
 
 @query(f"SELECT master_id, lang_id, max(CASE WHEN attr = 'name' THEN lc_string END) AS name FROM ({_LC2}) GROUP BY ALL")
@@ -439,44 +459,47 @@ def scd_as_of(spark, sf_dir):
 
 
 def _internal(spark, sf_dir):
-    """Open versions (id and version are order keys), and a package that sends every tenth again."""
+    """Versions (id and version are order keys), those of finished orders closed, and a package that sends the urgent
+    open ones again."""
     null = F.lit(None)
     base = _t(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("version"), _ts("1900-01-01 00:00:00").alias("valid_from"), F.when(F.col("o_orderkey") % 4 == 0, _ts("2020-01-01 00:00:00")).otherwise(_ts(MAX)).alias("valid_to"),
+        F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("version"), _ts("1900-01-01 00:00:00").alias("valid_from"), F.when(F.col("o_orderstatus") == "F", _ts("2020-01-01 00:00:00")).otherwise(_ts(MAX)).alias("valid_to"),
         _ts("2024-01-01 00:00:00").alias("record_date"), F.lit(1).cast("long").alias("data_package_id"), F.col("o_orderkey").alias("data_package_rn"), F.lit(1).cast("long").alias("source_id"),
         *(null.cast(t).alias(n) for n, t in (("external_id", "string"), ("external_version", "string"), ("external_version_ordinal_num", "int"), ("meta_id", "string"), ("meta_version", "string"), ("meta_version_ordinal_num", "int"))),
         F.col("o_totalprice").alias("price"),
     )
-    sent = base.where("id % 10 = 1").withColumns({"valid_from": null.cast("timestamp_ntz"), "valid_to": null.cast("timestamp_ntz"), "price": F.col("price") * 2, "data_package_id": F.lit(2).cast("long")})
+    urgent = _t(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' AND o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("id"))
+    sent = base.join(urgent, "id", "left_semi").withColumns({"valid_from": null.cast("timestamp_ntz"), "valid_to": null.cast("timestamp_ntz"), "price": F.col("price") * 2, "data_package_id": F.lit(2).cast("long")})
     return base, sent
 
 
-_I = "SELECT o_orderkey AS id, o_orderkey AS version, TIMESTAMP '1900-01-01' AS valid_from, CASE WHEN o_orderkey % 4 = 0 THEN TIMESTAMP '2020-01-01' ELSE TIMESTAMP '9999-12-31' END AS valid_to, o_totalprice AS price FROM orders"
+_I = "SELECT o_orderkey AS id, o_orderkey AS version, TIMESTAMP '1900-01-01' AS valid_from, CASE WHEN o_orderstatus = 'F' THEN TIMESTAMP '2020-01-01' ELSE TIMESTAMP '9999-12-31' END AS valid_to, o_totalprice AS price, o_orderpriority = '1-URGENT' AND o_orderstatus <> 'F' AS sent FROM orders"
 
 
-@query(f"""SELECT id, version, valid_from, CASE WHEN id % 10 = 1 THEN TIMESTAMP '{RUN}' ELSE valid_to END AS valid_to, price FROM ({_I}) UNION ALL
-  SELECT id, (SELECT max(o_orderkey) FROM orders) + row_number() OVER (ORDER BY id), TIMESTAMP '{RUN}', TIMESTAMP '{MAX}', price * 2 FROM ({_I}) WHERE id % 10 = 1""")
+@query(f"""SELECT id, version, valid_from, CASE WHEN sent THEN TIMESTAMP '{RUN}' ELSE valid_to END AS valid_to, price FROM ({_I}) UNION ALL
+  SELECT id, (SELECT max(o_orderkey) FROM orders) + row_number() OVER (ORDER BY id), TIMESTAMP '{RUN}', TIMESTAMP '{MAX}', price * 2 FROM ({_I}) WHERE sent""")
 def scd_close_internal(spark, sf_dir):
     base, sent = _internal(spark, sf_dir)
     return merge.merge_temporal(base, sent, _ts()).select("id", "version", "valid_from", "valid_to", "price")
 
 
-@query(f"SELECT id, version, valid_from, CASE WHEN id % 10 = 1 THEN TIMESTAMP '{RUN}' ELSE valid_to END AS valid_to, price FROM ({_I})")
+@query(f"SELECT id, version, valid_from, CASE WHEN sent THEN TIMESTAMP '{RUN}' ELSE valid_to END AS valid_to, price FROM ({_I})")
 def scd_delete(spark, sf_dir):
     base, sent = _internal(spark, sf_dir)
     return merge.delete_temporal(base, sent, _ts()).select("id", "version", "valid_from", "valid_to", "price")
 
 
-@query("SELECT o_orderkey AS id, o_orderkey AS version FROM orders WHERE o_orderkey % 4 = 0 AND o_orderkey % 5 = 0")
+@query("SELECT o_orderkey AS id, o_orderkey AS version FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'")
 def pkg_stale_guard(spark, sf_dir):
     base, _ = _internal(spark, sf_dir)
-    return merge.stale_rows(base, base.where("id % 5 = 0"))
+    urgent = _t(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("id"))
+    return merge.stale_rows(base, base.join(urgent, "id", "left_semi"))
 
 
 # ---- change capture
 
 _DIFF = f"""SELECT CASE WHEN t.id IS NULL THEN 'I' WHEN a.id IS NULL THEN 'D' ELSE 'U' END AS operation, coalesce(a.id, t.id) AS id, t.status AS old_status, a.status AS new_status,
-  t.order_date AS old_date, a.order_date AS new_date, a.price AS new_price, t.price AS old_price FROM ({_TARGET}) t FULL JOIN (SELECT * FROM ({_AFTER}) WHERE id % 7 <> 0) a ON a.id = t.id
+  t.order_date AS old_date, a.order_date AS new_date, a.price AS new_price, t.price AS old_price FROM ({_TARGET}) t FULL JOIN ({_LEFT}) a ON a.id = t.id
   WHERE t.id IS NULL OR a.id IS NULL OR t.data_package_id <> a.data_package_id"""
 
 
@@ -498,7 +521,7 @@ def cdc_invalid_chunks(spark, sf_dir):
     return cdc.invalidated_chunks(_changes(spark, sf_dir), [1, 2], F.expr(_MONTH), ["id"], _ts())
 
 
-@query(f"SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS chunk FROM orders WHERE o_orderkey % 3 <> 0 EXCEPT SELECT chunk FROM ({_CHUNKS}) WHERE chunk < '1998'")
+@query(f"SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS chunk FROM orders WHERE o_orderdate < TIMESTAMP '1999-01-01' EXCEPT SELECT chunk FROM ({_CHUNKS}) WHERE chunk < '1998'")
 def view_chunk_invalidation(spark, sf_dir):
     registry = target0(spark, sf_dir).select(F.expr(_MONTH).alias("chunk")).distinct()
     return cdc.still_filled(registry, cdc_invalid_chunks(spark, sf_dir).where("chunk < '1998'"))
@@ -515,8 +538,8 @@ def ops_log_retention(spark, sf_dir):
 _MV = "SELECT strftime(l_shipdate, '%Y-%m') AS chunk, l_returnflag, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY ALL"
 
 
-def _shipped(spark, sf_dir):
-    rows = _t(spark, sf_dir, "lineitem").withColumn("chunk", F.date_format("l_shipdate", "yyyy-MM"))
+def _shipped(spark, sf_dir, months=None):
+    rows = _t(spark, sf_dir, "lineitem").where(matview.months_between("l_shipdate", months)).withColumn("chunk", F.date_format("l_shipdate", "yyyy-MM"))
     return rows.groupBy("chunk", "l_returnflag").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
 
 
@@ -549,7 +572,8 @@ def mv_chunk_refresh(spark, sf_dir):
 def mv_partition_swap(spark, sf_dir):
     """Filled, one month forgotten and refreshed, read from the folders of the chunks."""
     store = Store(spark, scratch(spark, "views"))
-    view = matview.ChunkedView("shipped", lambda s: _shipped(s, sf_dir), "chunk")
+    keys = _t(spark, sf_dir, "lineitem").select(F.date_format("l_shipdate", "yyyy-MM").alias("chunk"))
+    view = matview.ChunkedView("shipped", lambda s, months: _shipped(s, sf_dir, months), "chunk", lambda s: keys)
     first = view.refresh(spark, store)
     view.invalidate(store, first[:1])
     view.refresh(spark, store)
@@ -562,7 +586,8 @@ _RUNS = "SELECT user_id % 10 AS meta_view_id, ts AS start_time, ts + to_microsec
 
 
 def _runs(spark, sf_dir):
-    end = F.expr("ts + make_dt_interval(0, 0, 0, cast(cast(value * 1000000 as bigint) as decimal(20, 0)) / 1000000)")
+    # whole microseconds, rounded
+    end = F.expr("ts + make_dt_interval(0, 0, 0, cast(round(value * 1000000) as decimal(20, 0)) / 1000000)")
     return _t(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("meta_view_id"), F.col("ts").alias("start_time"), end.alias("end_time"))
 
 
@@ -593,7 +618,12 @@ def stat_as_of_update(spark, sf_dir):
 _CS = [("c_custkey", "c_name", "c_nationkey", "c_acctbal"), ("s_suppkey", "s_name", "s_nationkey", "s_acctbal")]
 
 
-@query()
+_LISTED = "SELECT column_name[3:] AS c, replace(replace(lower({kind}), 'varchar', 'string'), 'integer', 'int') AS t, row_number() OVER ()::INT AS n FROM (DESCRIBE SELECT * FROM {table})"
+
+
+@query(f"""SELECT coalesce(a.c, b.c) AS column_name, a.t AS old_type, b.t AS new_type, a.n AS old_position, b.n AS new_position,
+  CASE WHEN a.c IS NULL THEN 'add' WHEN b.c IS NULL THEN 'drop' WHEN a.t <> b.t THEN 'alter' ELSE 'keep' END AS action
+  FROM ({_LISTED.format(kind='column_type', table='customer')}) a FULL JOIN ({_LISTED.format(kind="CASE WHEN column_name = 's_nationkey' THEN 'bigint' ELSE column_type END", table='supplier')}) b ON a.c = b.c""")
 def evo_column_diff(spark, sf_dir):
     old, new = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "supplier")
     old, new = (d.toDF(*(c[2:] for c in d.columns)) for d in (old, new))
@@ -753,7 +783,9 @@ def stream_windowed_counts(spark, sf_dir):
     events = _t(spark, sf_dir, "events")
     path = scratch(spark, "event-stream")
     events.write.parquet(path)
-    to, name = scratch(spark, "stream-checkpoint"), f"counts_{abs(hash(path)) % 10**9}"
+    to, counts = scratch(spark, "stream-checkpoint"), scratch(spark, "stream-counts")
     out = windowed_counts(spark.readStream.schema(events.schema).parquet(path), "ts", "event_type")
-    out.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", to).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 2).alias("total"))
+    # complete results replace each other; what the last batch wrote counts
+    writer = out.writeStream.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(counts)).outputMode("complete")
+    writer.option("checkpointLocation", to).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(counts).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 2).alias("total"))
