@@ -58,13 +58,14 @@ def test_names(spark):
 
 def test_macro():
     code = "with t as /* #if #server_major_version >= 12 */ /* #then */materialized/* #endif */ (select 1)"
-    assert names.expand_compatibility_macros(code, None) == code
-    assert "materialized" in names.expand_compatibility_macros(code, 12)
-    assert "materialized" not in names.expand_compatibility_macros(code, 11)
-    assert "materialized" not in names.expand_compatibility_macros(code, 9)  # as numbers
+    assert expanded(code, None) == code
+    assert "materialized" in expanded(code, 12)
+    assert "materialized" not in expanded(code, 11)
+    assert "materialized" not in expanded(code, 9)  # as numbers
     other = "a /* #if #server_major_version >= 11 */ /* #then */ x /* #else */ /* y */ /* #endif */ b"
-    assert names.expand_compatibility_macros(other, 12) == "a x b"
-    assert names.expand_compatibility_macros(other, 10) == "a y b"
+    assert expanded(other, 12) == "a x b"
+    assert expanded(other, 10) == "a y b"
+    assert expanded(f"{code} {other} z", 12) == f"{expanded(code, 12)} a x b z"
 
 
 def test_numbered(spark):
