@@ -13,7 +13,7 @@ from refloom.functions import names
 from refloom.operators import analytics, evolve, matview, merge
 from refloom.operators.numbering import numbered
 from refloom.plans import catalog, graph, scheduler
-from refloom.sources.packages import Engine
+from refloom.sources.packages import STATISTICS, Engine, state_counts
 from refloom.sources.store import ConcurrentChange, Store
 from refloom.streaming import ingest
 
@@ -56,7 +56,10 @@ def test_names(spark):
     assert one(spark, names.pretty_size(lit(10240))) == "10 kB"
 
 
-def test_macro():
+def test_macro(spark):
+    def expanded(code, level):
+        return one(spark, names.expand_compatibility_macros(F.lit(code), F.lit(level).cast("int")))
+
     code = "with t as /* #if #server_major_version >= 12 */ /* #then */materialized/* #endif */ (select 1)"
     assert expanded(code, None) == code
     assert "materialized" in expanded(code, 12)
@@ -107,7 +110,7 @@ def test_plain_package(spark, engine):
         engine.process(p.id, T2)
     got = {r["id"]: r["code"] for r in engine.store.read("product").collect()}
     assert got == {1: "a", 2: "b"} and changed == T1
-    assert [(r["master_id"], r["lang"], r["lc_string"]) for r in engine.store.read("product_lc").collect()] == [(1, "ru", "One")]
+    assert [(r["master_id"], r["lang_id"], r["lc_string"]) for r in engine.store.read("product_lc").collect()] == [(1, "ru", "One")]
     q = engine.register("product", "erp", T2)
     engine.stage(q, spark.createDataFrame([(1, 1, None, None, 5), (2, None, "c", "See", 6)], "data_package_rn long, id long, code string, name string, price int"))
     with pytest.raises(merge.PackageError):
@@ -123,11 +126,78 @@ def test_plain_package(spark, engine):
     engine.process(d.id, T2)
     assert engine.store.read("product_lc").count() == 0 and engine.store.read("product").count() == 2
     engine.delete(d.id)
-    assert d.id not in engine.packages()
+    with pytest.raises(KeyError):
+        engine.package(d.id)
     e = engine.register("product", "other", T2, lang="de")
     assert e.lang == "de" and engine.process(e.id, T2) == T2  # nothing staged
     engine.discard(e.id, T2)
-    assert engine.packages()[e.id].state == "discarded"
+    assert engine.package(e.id).state == "discarded"
+    assert {(r["state"], r["n"]) for r in state_counts(engine.headers()).collect()} == {("processed", 2), ("discarded", 1)}
+    told = engine.store.read(STATISTICS).groupBy("table_name").count().collect()
+    assert {r["table_name"]: r["count"] for r in told} == {"product": 3, "product_lc": 3}
+
+
+def test_an_interrupted_package_can_be_processed_again(spark, engine, monkeypatch):
+    p = engine.register("contract", "erp", T1)
+    engine.stage(p, versions(spark, [(1, None, None, "A", "v1", 1, T1, None)]))
+
+    def fails(*_):
+        raise OSError
+
+    with monkeypatch.context() as m:
+        m.setattr(Store, "_placed", fails)
+        with pytest.raises(OSError):
+            engine.process(p.id, T2)
+    assert engine.package(p.id).state == "loaded" and not engine.store.exists("contract")
+    engine.process(p.id, T2)
+    assert engine.store.read("contract").count() == 1
+
+
+def test_a_package_registered_meanwhile_stays(spark, store, engine, monkeypatch):
+    first = engine.register("product", "erp", T1)
+    usual = Store._placed
+
+    def slow(self, number, tables):
+        monkeypatch.setattr(Store, "_placed", usual)
+        other = Store(spark, store.path)
+        other.commit({"other": {"folder": None}})
+        return usual(self, number, tables)
+
+    monkeypatch.setattr(Store, "_placed", slow)
+    second = engine.register("product", "erp", T2)  # another writer took the number: tried again
+    assert {r["id"] for r in engine.headers().collect()} == {first.id, second.id} and store.exists("other")
+
+
+def test_translations_of_versions(spark, store):
+    c = catalog.Catalog([catalog.EntityType("offer", [catalog.Attribute("title", "s", localisable=True)], parent="entity", temporal=True)])
+    engine = Engine(spark, store, c, {"erp": "ru"})
+    p = engine.register("offer", "erp", T1)
+    rows = [(1, None, None, "A", "v1", 1, T1, None), (2, None, None, None, None, None, None, None)]
+    engine.stage(p, versions(spark, rows).withColumn("title", F.concat(F.lit("t"), "data_package_rn")))
+    engine.process(p.id, T1)
+    lc = {r["lc_string"]: r for r in engine.store.read("offer_lc").collect()}
+    assert set(lc) == {"t1", "t2"} and all(r["is_default_value"] and r["master_version"] for r in lc.values())
+    d = engine.register("offer", "erp", T2, is_deletion=True)
+    engine.stage(d, engine.store.read("offer").select("id", "version", F.col("data_package_rn")))
+    engine.process(d.id, T2)
+    left = engine.store.read("offer").collect()
+    # the outer version is gone with its translation, the internal one closed and keeps it
+    assert [(r["external_id"], r["valid_to"]) for r in left] == [(None, T2)]
+    assert [r["lc_string"] for r in engine.store.read("offer_lc").collect()] == ["t2"]
+    found = merge.upsert_localised(
+        spark.createDataFrame([(1, "a", "en", "x", False), (1, "a", "en", "y", True)], "master_id long, attr string, lang_id string, lc_string string, is_default_value boolean"),
+        spark.createDataFrame([(1, "a", "en", "z")], "master_id long, attr string, lang_id string, lc_string string"),
+    )
+    assert {(r["lc_string"], r["is_default_value"]) for r in found.collect()} == {("x", False), ("z", True)}
+
+
+def test_latest_rows_of_a_series(spark):
+    """The id goes by the begin, the end by the ordinal number, rows without one before all others."""
+    at = [dt.datetime(2020 + i, 1, 1) for i in range(5)]
+    target = versions(spark, [(1, 5, 1, "A", "v1", 3, at[0], at[1]), (2, 6, 2, "A", "v2", 1, at[2], at[3]), (3, 7, 3, "B", "v1", None, at[0], at[1]), (4, 7, 4, "B", "v2", 9, at[1], at[2])])
+    staged = versions(spark, [(1, None, None, "A", "v3", 4, None, None), (2, None, None, "B", "v3", 9, None, None)])
+    found = merge._latest(target, staged, "external_id", "external_version_ordinal_num").collect()
+    assert {r["external_id"]: tuple(r)[2:] for r in found} == {"A": (6, at[1]), "B": (7, at[1])}
 
 
 def versions(spark, rows):
@@ -188,9 +258,11 @@ def test_incremental_is_full(spark, store):
     rng = random.Random(5)
     data = [(f"m {i % 7}/x", rng.random()) for i in range(100)]
     state = {"rows": data}
-    view = matview.ChunkedView("v", lambda s: s.createDataFrame(state["rows"], "chunk string, x double"), "chunk", bucket=2)
+    build = lambda s, chunks: s.createDataFrame(state["rows"], "chunk string, x double")
+    seen = []
+    view = matview.ChunkedView("v", build, "chunk", lambda s: build(s, None), bucket=2, dependants=[lambda rows: seen.append(rows.count())])
     first = view.refresh(spark, store)
-    assert len(first) == 7 and view.refresh(spark, store) == []
+    assert len(first) == 7 and view.refresh(spark, store) == [] and sum(seen) == len(data)
     state["rows"] = [r for r in data if r[0] != "m 3/x" or rng.random() < 0.5] + [("m 8/x", 1.0)]
     view.invalidate(store, ["m 3/x"])
     assert view.refresh(spark, store) == ["m 3/x", "m 8/x"]
@@ -216,8 +288,6 @@ def test_scheduler():
     assert scheduler.refresh_all({1: set(), 2: {1}, 3: {2}}, lambda v: v, pending=[2, 3], order={3: {2}}) == [2, 3]
     with pytest.raises(scheduler.ScheduleError):
         scheduler.refresh_all({1: {2}, 2: {1}}, lambda v: v)
-    with pytest.raises(scheduler.ScheduleError):
-        scheduler.waves({1: {2}, 2: {1}})
     with pytest.raises(ZeroDivisionError):
         scheduler.refresh_all({1: set()}, lambda v: 1 / 0)
     with pytest.raises(scheduler.ScheduleError):
@@ -230,6 +300,29 @@ def test_closure_limit(spark):
     assert {r["node"] for r in graph.closure(edges, roots, level_limit=2).collect()} == {3, 2}
 
 
+def test_closure_of_many_ways(spark):
+    # 2 ** 14 ways from the last to the first, and as many steps as layers
+    edges = [(2 * i + a, 2 * (i - 1) + b) for i in range(1, 15) for a in (0, 1) for b in (0, 1)]
+    found = graph.closure(spark.createDataFrame(edges, "view_id long, master_id long"), spark.createDataFrame([(28,)], "root long"))
+    assert {r["node"]: r["level"] for r in found.collect()} == {2 * i + a: i - 14 for i in range(14) for a in (0, 1)}
+
+
+def test_closure_with_a_cycle_elsewhere(spark):
+    edges = spark.createDataFrame([(4, 3), (3, 2), (2, 1), (1, 3)], "view_id long, master_id long")
+    found = graph.closure(edges, spark.createDataFrame([(4,)], "root long"))
+    assert {r["node"]: r["level"] for r in found.collect()} == {3: -1, 2: -2, 1: -3}
+    pairs = {(r["view_id"], r["master_id"]): r["level"] for r in graph.inherited_edges(edges).collect()}
+    assert pairs[4, 1] == 3 and (3, 3) not in pairs and pairs[3, 1] == 2
+
+
+def test_chunk_filter_reaches_the_scan(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where(matview.months_between("l_shipdate", ["1997-12", "1998-01", "1996-03"]))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [Or(" in plan and "GreaterThanOrEqual(l_shipdate,1996-03-01" in plan
+    assert rows.where(F.date_format("l_shipdate", "yyyy-MM").isin("1997-12", "1998-01", "1996-03")).count() == rows.count() > 0
+    assert spark.range(1).where(matview.months_between("id", [])).count() == 0
+
+
 def test_evolution(spark):
     old = T.StructType().add("a", "integer").add("b", "string").add("c", "date")
     new = T.StructType([T.StructField("a", T.LongType()), T.StructField("c", T.DateType()), T.StructField("d", T.StringType(), False)])
@@ -262,6 +355,9 @@ def test_streams(spark, store, tmp_path):
     schema = spark.read.parquet(source).schema
     stream = lambda: ingest.upsert_stream(ingest.stream_of(spark, source, schema), store, "s", "k", "n", (tmp_path / "cp").as_uri())
     ingest.drained(stream())
-    assert store.read("s").count() == 5
+    assert store.read_chunks("s").count() == 5
+    before = store.manifest("s")
     ingest.drained(stream())
-    assert store.read("s").count() == 5
+    assert store.manifest("s") == before
+    got = {r["k"]: (r["v"], r["n"]) for r in store.read_chunks("s").collect()}
+    assert got == {k: (n * 10 + k, n) for k, n in ((0, 0), (1, 1), (2, 2), (3, 2), (4, 2))}
