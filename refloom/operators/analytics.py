@@ -72,6 +72,22 @@ def numbered_indexes(indexes: DataFrame) -> DataFrame:
     return indexes.withColumn("index_number", F.row_number().over(Window.partitionBy("schema_name", "table_name").orderBy("index_name")))
 
 
+def listed_indexes(indexes: DataFrame, columns: DataFrame) -> DataFrame:
+    """Numbered indexes with their columns in order. columns: (schema_name, table_name, index_name, column_name,
+    position)."""
+    key = ["schema_name", "table_name", "index_name"]
+    order = F.array_sort(F.collect_list(F.struct("position", "column_name")))
+    lists = columns.groupBy(*key).agg(F.array_join(F.transform(order, lambda x: x["column_name"]), ", ").alias("index_columns"))
+    return numbered_indexes(indexes).join(lists, key, "left")
+
+
+def inquired_masters(views: DataFrame, edges: DataFrame, most_levels: int = 2) -> DataFrame:
+    """(view_id, master_id, level) of the masters whose statistics a refresh of the views (id) looks at: those that are
+    not further than so many levels."""
+    found = closure(edges, views.select(F.col("id").alias("root")), level_limit=most_levels)
+    return found.select(F.col("root").alias("view_id"), F.col("node").alias("master_id"), (-F.col("level")).cast("int").alias("level"))
+
+
 def blocked_activity(locks: DataFrame) -> DataFrame:
     """(pid, blocking_pid): who waits for whom: the same lock target, nulls equal to nulls, held by another."""
     target = ("locktype", "database", "relation", "page")

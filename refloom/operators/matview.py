@@ -14,6 +14,9 @@ from refloom.operators.numbering import numbered
 from refloom.sources.store import Store
 
 
+RUN_LOG, RUNS = "materialized_view_refresh_log", "view string, start_time timestamp_ntz, end_time timestamp_ntz, chunks int"
+
+
 def bucket_chunks(chunks: DataFrame, size: int, chunk: str = "chunk") -> DataFrame:
     """(bucket, chunks): distinct chunks in order, so many to a bucket."""
     placed = numbered(chunks.select(chunk).distinct(), chunk, name="_n")
@@ -102,6 +105,15 @@ class ChunkedView:
                 call(store.read_chunks(self.name, part))
         return todo
 
+    def refresh_logged(self, spark: SparkSession, store: Store, start: dt.datetime, end: Callable[[], dt.datetime] = dt.datetime.now) -> list[str]:
+        """Fill what isn't filled, and note the run (view, start, end, chunks) in the store."""
+        done = self.refresh(spark, store)
+        run = spark.createDataFrame([(self.name, start, end(), len(done))], RUNS)
+        version = store.manifest(RUN_LOG)["version"]
+        log = store.read(RUN_LOG).unionByName(run).coalesce(1) if version else run
+        store.write(RUN_LOG, log, version)
+        return done
+
     def refresh_fully(self, spark: SparkSession, store: Store) -> None:
         """All chunks anew; chunks that are no more go."""
         now = self.chunks(spark)

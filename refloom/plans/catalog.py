@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from refloom.plans.graph import closure
+from refloom.plans.graph import closure, levels
 
 PRIMITIVES = ("s", "n", "d", "b", "id")
 TYPES = "id long, internal_name string, super_type_id long, master_type_id long, is_abstract boolean, is_temporal boolean, is_logged boolean"
@@ -292,6 +292,60 @@ def table_columns(catalog: Catalog, spark: SparkSession, roles: tuple[str, ...]
     return spark.createDataFrame(rows, "type_name string, role string, column_name string, column_type string, is_nullable boolean, ordinal_position int")
 
 
+def type_flags(types: DataFrame, attributes: DataFrame, existing: DataFrame) -> DataFrame:
+    """What holds of every concrete type: its level, and which of its tables there should be and are. existing:
+    (table_name); a type's tables are named after it, with _lc, _log and _staging."""
+    edges = attributes.where(F.col("attr_type_id").isNotNull()).select(F.col("master_id").alias("view_id"), F.col("attr_type_id").alias("master_id"))
+    edges = edges.join(types.select(F.col("id").alias("master_id")), "master_id", "left_semi").select("view_id", "master_id")
+    edges = edges.union(types.where("master_type_id IS NOT NULL").select("id", "master_type_id"))
+    local = having_attribute(types, attributes, "").select(F.col("type_id").alias("id"), F.col("has_localisation").alias("is_localization_table_generated"))
+    found = types.where("NOT coalesce(is_abstract, false)").join(levels(types, edges), "id").join(local, "id")
+    there = existing.select("table_name").distinct().withColumn("_there", F.lit(True))
+    for suffix, flag in (("", "is_table_exists"), ("_staging", "is_staging_table_exists"), ("_lc", "is_localization_table_exists"), ("_log", "is_log_table_exists")):
+        own = there.select(F.col("table_name").alias("_name"), F.col("_there").alias(flag))
+        found = found.join(own, F.concat("internal_name", F.lit(suffix)) == F.col("_name"), "left").drop("_name")
+        found = found.withColumn(flag, F.coalesce(flag, F.lit(False)))
+    built = (
+        F.col("is_table_exists")
+        & F.col("is_staging_table_exists")
+        & (F.col("is_localization_table_exists") == F.col("is_localization_table_generated"))
+        & (F.col("is_log_table_exists") == F.coalesce("is_logged", F.lit(False)))
+    )
+    return found.select(
+        "id", "internal_name", F.col("level").alias("dependency_level"), "is_table_exists", "is_staging_table_exists",
+        "is_localization_table_generated", "is_localization_table_exists", "is_log_table_exists", built.alias("is_built"),
+    )
+
+
+def column_plan(wanted: DataFrame, actual: DataFrame) -> DataFrame:
+    """(table_name, column_name, wanted_type, actual_type, action) of columns (table_name, column_name, column_type,
+    is_nullable) that should be and are there: add, drop, alter (another type), tighten or loosen (nulls), keep."""
+    key = ["table_name", "column_name"]
+    both = wanted.select(*key, F.col("column_type").alias("wanted_type"), F.col("is_nullable").alias("_n")).join(
+        actual.select(*key, F.col("column_type").alias("actual_type"), F.col("is_nullable").alias("_m")), key, "full_outer"
+    )
+    action = (
+        F.when(F.col("actual_type").isNull(), "add")
+        .when(F.col("wanted_type").isNull(), "drop")
+        .when(F.col("wanted_type") != F.col("actual_type"), "alter")
+        .when(~F.col("_n") & F.col("_m"), "tighten")
+        .when(F.col("_n") & ~F.col("_m"), "loosen")
+        .otherwise("keep")
+    )
+    return both.select(*key, "wanted_type", "actual_type", action.alias("action"))
+
+
+def index_plan(wanted: DataFrame, actual: DataFrame) -> DataFrame:
+    """(table_name, index_name, index_columns, action) of indexes (table_name, index_name, index_columns, is_unique): create
+    what is missing, rebuild what has other columns or another uniqueness, drop orphans, keep the rest."""
+    key = ["table_name", "index_name"]
+    there = actual.select(*key, F.col("index_columns").alias("_columns"), F.col("is_unique").alias("_unique"))
+    both = wanted.join(there, key, "full_outer")
+    same = F.col("index_columns").eqNullSafe(F.col("_columns")) & F.col("is_unique").eqNullSafe(F.col("_unique"))
+    action = F.when(F.col("_columns").isNull(), "create").when(F.col("index_columns").isNull(), "drop").when(same, "keep").otherwise("rebuild")
+    return both.select(*key, "index_columns", action.alias("action"))
+
+
 def without_type(types: DataFrame, gone: DataFrame) -> DataFrame:
     """types without some (id) and all that inherit from them or are their details."""
     up = types.select(F.col("id").alias("view_id"), F.explode(F.array("super_type_id", "master_type_id")).alias("master_id"))

@@ -99,6 +99,48 @@ def meta_table_columns(spark, sf_dir):
     return catalog.table_columns(_types(), spark).drop("ordinal_position")
 
 
+_TABLES = [("product",), ("product_staging",), ("product_lc",), ("product_log",), ("contract",), ("contract_staging",), ("line",), ("source",), ("source_staging",), ("source_log",)]
+_TYPE_FLAGS = [
+    # name, level, table, staging, translations wanted and there, log, built
+    ("source", 0, True, True, False, False, True, False), ("product", 0, True, True, True, True, True, True),
+    ("contract", 1, True, True, False, False, False, True), ("line", 2, True, False, False, False, False, False),
+]
+
+
+@query(f"SELECT internal_name, dependency_level, is_table_exists, is_staging_table_exists, is_localization_table_generated, is_localization_table_exists, is_log_table_exists, is_built FROM {_values(_TYPE_FLAGS, 'internal_name, dependency_level, is_table_exists, is_staging_table_exists, is_localization_table_generated, is_localization_table_exists, is_log_table_exists, is_built')}")
+def meta_type_flags(spark, sf_dir):
+    types, attributes = _types().frames(spark)
+    return catalog.type_flags(types, attributes, spark.createDataFrame(_TABLES, "table_name string")).drop("id")
+
+
+# The columns of the customers, as another table of the suppliers wants them.
+_HAS = "(SELECT column_name[3:] AS c, CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' ELSE lower(column_type) END AS t FROM (DESCRIBE SELECT * FROM {0}))"
+
+
+@query(f"""SELECT 'customer' AS table_name, coalesce(w.c, a.c) AS column_name, w.t AS wanted_type, a.t AS actual_type,
+  CASE WHEN a.c IS NULL THEN 'add' WHEN w.c IS NULL THEN 'drop' WHEN w.t <> a.t THEN 'alter' WHEN w.c = 'name' THEN 'tighten' ELSE 'keep' END AS action
+  FROM {_HAS.format('supplier')} w FULL JOIN {_HAS.format('customer')} a ON a.c = w.c""")
+def meta_column_plan(spark, sf_dir):
+    def listed(name: str, strict: tuple[str, ...] = ()) -> DataFrame:
+        rows = [("customer", f.name[2:], f.dataType.simpleString(), f.name[2:] not in strict) for f in _t(spark, sf_dir, name).schema]
+        return spark.createDataFrame(rows, "table_name string, column_name string, column_type string, is_nullable boolean")
+
+    return catalog.column_plan(listed("supplier", ("name",)), listed("customer"))
+
+
+_INDEXED = "(SELECT n_name AS table_name, 'i_' || s_name AS index_name, string_agg(s_name, ', ') AS index_columns, s_acctbal > 0 AS is_unique FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY ALL)"
+
+
+@query(f"""SELECT coalesce(w.table_name, a.table_name) AS table_name, coalesce(w.index_name, a.index_name) AS index_name, w.index_columns,
+  CASE WHEN a.index_name IS NULL THEN 'create' WHEN w.index_name IS NULL THEN 'drop' WHEN w.is_unique THEN 'keep' ELSE 'rebuild' END AS action
+  FROM {_INDEXED} w FULL JOIN (SELECT table_name, index_name FROM {_INDEXED} WHERE table_name < 'NATION_2' UNION ALL SELECT n_name, 'i_old' FROM nation) a ON a.table_name = w.table_name AND a.index_name = w.index_name""")
+def meta_index_plan(spark, sf_dir):
+    s = _t(spark, sf_dir, "supplier").join(_t(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey"))
+    wanted = s.select(F.col("n_name").alias("table_name"), F.concat(F.lit("i_"), "s_name").alias("index_name"), F.col("s_name").alias("index_columns"), (F.col("s_acctbal") > 0).alias("is_unique"))
+    old = _t(spark, sf_dir, "nation").select(F.col("n_name").alias("table_name"), F.lit("i_old").alias("index_name"), F.lit("x").alias("index_columns"), F.lit(True).alias("is_unique"))
+    return catalog.index_plan(wanted, wanted.where("table_name < 'NATION_2'").withColumn("is_unique", F.lit(True)).unionByName(old))
+
+
 # ---- flags of types and views. The types are the nations, each below the one with half its number; a customer with
 # a low balance is a changed attribute of its nation.
 
@@ -435,6 +477,31 @@ def cdc_chunk_log(spark, sf_dir):
     return found.withColumn("n", F.row_number().over(Window.partitionBy("u").orderBy("month")))
 
 
+@query("SELECT 'shipped' AS view, chunks::INT AS chunks, run_number::INT AS run_number FROM (SELECT count(DISTINCT strftime(l_shipdate, '%Y-%m')) AS chunks, 1 AS run_number FROM lineitem UNION ALL SELECT 2, 2)")
+def mv_refresh_log(spark, sf_dir):
+    """Two runs: all months, then the two that were forgotten."""
+    store = Store(spark, scratch(spark, "views"))
+    keys = _t(spark, sf_dir, "lineitem").select(F.date_format("l_shipdate", "yyyy-MM").alias("chunk"))
+    view = matview.ChunkedView("shipped", lambda s, months: _shipped(s, sf_dir, months), "chunk", lambda s: keys)
+    first = view.refresh_logged(spark, store, _RUNS[0])
+    view.invalidate(store, first[:2])
+    view.refresh_logged(spark, store, _RUNS[1])
+    return store.read(matview.RUN_LOG).select("view", "chunks", F.row_number().over(Window.partitionBy("view").orderBy("start_time")).alias("run_number"))
+
+
+@query(f"SELECT a.view_id::BIGINT AS view_id, a.master_id::BIGINT AS master_id, 1 AS level FROM {_EDGES} a WHERE a.view_id > 3 AND NOT EXISTS (SELECT 1 FROM {_EDGES} b JOIN {_EDGES} c ON c.view_id = b.master_id WHERE b.view_id = a.view_id AND c.master_id = a.master_id) UNION SELECT b.view_id, c.master_id, 2 FROM {_EDGES} b JOIN {_EDGES} c ON c.view_id = b.master_id WHERE b.view_id > 3")
+def stat_inquired_masters(spark, sf_dir):
+    return analytics.inquired_masters(views_seed(spark).where("id > 3"), edges_seed(spark))
+
+
+@query("SELECT 's' AS schema_name, c_mktsegment AS table_name, c_name AS index_name, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_name)::INT AS index_number, n_name || ', ' || c_name AS index_columns FROM customer JOIN nation ON n_nationkey = c_nationkey")
+def ops_index_columns(spark, sf_dir):
+    c = _t(spark, sf_dir, "customer").join(_t(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    c = c.select(F.lit("s").alias("schema_name"), F.col("c_mktsegment").alias("table_name"), F.col("c_name").alias("index_name"), "n_name")
+    each = F.inline(F.array(F.struct(F.col("index_name").alias("column_name"), F.lit(2).alias("position")), F.struct(F.col("n_name").alias("column_name"), F.lit(1).alias("position"))))
+    return analytics.listed_indexes(c.drop("n_name"), c.select("schema_name", "table_name", "index_name", each))
+
+
 # ---- snapshots, schema changes, operations
 
 _OBJ = "(SELECT n_nationkey AS id, CASE n_regionkey WHEN 0 THEN 'routine' WHEN 1 THEN 'view' ELSE 'table' END AS kind, r_name AS schema_name FROM nation JOIN region ON r_regionkey = n_regionkey)"
