@@ -139,7 +139,9 @@ def _differences(groups: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     told = told.select("hub", "_rk", f.alias("f"), F.size(whole).alias("size"), F.concat("missing", "extra").alias("difference"))
     told = written(told, "differences")
     rare = each.select("hub", "token", F.when(most, F.col("members") - F.col("n")).otherwise(F.col("n")).alias("n")).where("n > 1")
-    listed = told.select("hub", "_rk", F.explode("difference").alias("token")).join(written(rare, "shared-tokens"), ["hub", "token"])
+    # dealt by member, as a file may hold many of one group
+    dealt = told.repartition("hub", "_rk")
+    listed = dealt.select("hub", "_rk", F.explode("difference").alias("token")).join(written(rare, "shared-tokens"), ["hub", "token"])
     order = F.array_sort(F.collect_list(F.struct("n", "token")))
     listed = listed.groupBy("hub", "_rk").agg(F.transform(order, lambda x: x["token"]).alias("shared"))
     found = told.select("hub", "_rk", "f", "size", F.size("difference").alias("total"))
