@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from refloom.session import hadoop_path, scratch
 
+#: Edges whose minima, a row for each node at most, are broadcast.
+SENT_EDGES = 100_000
+
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root): every node of an edge and the smallest node that it reaches.
@@ -16,9 +19,10 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     edges: columns u and v of one ordered type; loops and repeats may occur, an empty list
     gives no row. Each round links the neighbours of every node to the smallest of them, so
     the number of rounds grows with the logarithm of the longest path. A hub's edges are only
-    joined with one row of its minimum, never with each other; the minima are written first, so that
-    the join deals the edges anew and those of a hub can be split. Rounds are written to the shared
-    folder; what the one before the last needed is removed.
+    joined with one row of its minimum, never with each other. Up to SENT_EDGES edges, counted in each
+    round, the minima are broadcast; those of more are written first, so that the join deals the edges
+    anew and those of a hub can be split. Rounds are written to the shared folder; what the one before
+    the last needed is removed.
     """
     spark = edges.sparkSession
     current = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
@@ -43,19 +47,22 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
                 current.select("v", "v").distinct()
             )
         seen = now
-        current = _small_star(kept(_large_star(current, kept)), kept)
+        if now[0] <= SENT_EDGES:
+            current = _small_star(_large_star(current, F.broadcast), F.broadcast)
+        else:
+            current = _small_star(kept(_large_star(current, kept)), kept)
     raise RuntimeError(f"no fixed point after {most_rounds} rounds")
 
 
-def _large_star(edges: DataFrame, kept: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _large_star(edges: DataFrame, placed: Callable[[DataFrame], DataFrame]) -> DataFrame:
     both = edges.union(edges.select("v", "u"))
-    least = kept(both.groupBy("u").agg(F.min("v").alias("m")))
+    least = placed(both.groupBy("u").agg(F.min("v").alias("m")))
     return (
         both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
     )
 
 
-def _small_star(edges: DataFrame, kept: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    least = kept(edges.groupBy("u").agg(F.min("v").alias("m")))
+def _small_star(edges: DataFrame, placed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    least = placed(edges.groupBy("u").agg(F.min("v").alias("m")))
     moved = edges.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least).distinct()

@@ -3,7 +3,7 @@
 import random
 import string
 
-from refloom.llm import common, decontam, secrets, similar, simhash, substrings, toxicity, urls, warc
+from refloom.llm import common, components, decontam, secrets, similar, simhash, substrings, toxicity, urls, warc
 from tests.llm import brute
 
 
@@ -149,6 +149,7 @@ def test_ways_beyond_the_bounds(spark, sf_dir, monkeypatch):
     sent, block = 0, 1
     monkeypatch.setattr(similar, "MOST_PAIRED", 2)
     monkeypatch.setattr(common.sized, "__defaults__", (0, 0))
+    monkeypatch.setattr(components, "SENT_EDGES", 0)
     for module in (decontam, substrings):
         monkeypatch.setattr(module, "REMEMBERED", 10)
     assert results() == usual
