@@ -520,6 +520,25 @@ def snap_objects(spark, sf_dir):
     return analytics.snapshot_objects(objects, uses, ["AFRICA", "AMERICA"]).select("id", "kind")
 
 
+@query("SELECT 'event' AS table_name, event_id AS id FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20' UNION ALL SELECT 'customer', c_custkey FROM customer")
+def snap_export(spark, sf_dir):
+    """Tables written for a range of dates, one without a date whole, and read again."""
+    to = scratch(spark, "snapshot")
+    tables = {"event": (_t(spark, sf_dir, "events"), "ts"), "customer": (_t(spark, sf_dir, "customer"), None)}
+    analytics.export_snapshot(tables, to, dt.date(2024, 1, 10), dt.date(2024, 1, 20))
+    events, customers = (spark.read.parquet(f"{to}/{t}") for t in ("event", "customer"))
+    return events.select(F.lit("event").alias("table_name"), F.col("event_id").alias("id")).union(customers.select(F.lit("customer"), F.col("c_custkey").cast("long")))
+
+
+@query("SELECT *, true AS has_rows, 0::BIGINT AS n_indexes_size, true AS is_sum FROM (VALUES ('customer'), ('nation')) AS t(table_name)")
+def ops_table_sizes(spark, sf_dir):
+    store = Store(spark, scratch(spark, "sizes"))
+    for t in ("nation", "customer"):
+        store.write(t, _t(spark, sf_dir, t))
+    total = F.col("n_relation_size") + F.col("n_indexes_size") == F.col("n_total_relation_size")
+    return store.sizes().select("table_name", (F.col("n_relation_size") > 0).alias("has_rows"), "n_indexes_size", total.alias("is_sum"))
+
+
 @query("SELECT 'c' AS schema_name, 'table' AS sys_obj_type, sum(c_custkey)::BIGINT AS n_total_relation_size, CASE WHEN sum(c_custkey) < 10240 THEN sum(c_custkey)::BIGINT || ' bytes' WHEN sum(c_custkey) < 10485760 THEN round(sum(c_custkey) / 1024)::BIGINT || ' kB' ELSE round(sum(c_custkey) / 1048576)::BIGINT || ' MB' END AS s_total_relation_size FROM customer")
 def ops_schema_size(spark, sf_dir):
     sizes = _t(spark, sf_dir, "customer").select(F.lit("c").alias("schema_name"), F.lit("table").alias("sys_obj_type"), F.col("c_custkey").cast("long").alias("n_total_relation_size"))
