@@ -128,7 +128,8 @@ def _differences(groups: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     own = written(groups.join(sets.select("_rk", "own"), "_rk"), "members")
     each = own.select("hub", F.explode("own").alias("token")).groupBy("hub", "token").agg(F.count("*").alias("n"))
     members = written(groups.groupBy("hub").agg(F.count("*").alias("members")), "counts")
-    each = written(each.join(sized(members), "hub"), "tokens")
+    # what one member has alone is in no reference, as groups have more than MOST_PAIRED, and shared with none
+    each = written(each.where("n > 1").join(sized(members), "hub"), "tokens")
     most = 2 * F.col("n") > F.col("members")
     reference = written(each.where(most).groupBy("hub").agg(F.collect_list("token").alias("reference")), "references")
     told = own.join(sized(members), "hub").join(_few(reference), "hub", "left")
@@ -155,10 +156,11 @@ def _few(side: DataFrame) -> DataFrame:
 
 
 def _entries(rows: DataFrame, least: float) -> DataFrame:
-    """(hub, token, low, high, role, _rk, label): the shingles by which a member meets partners of each class of f, its
-    own class and theirs in order; role 0 for the partner of the lower class, 1 for that of the higher one, both
-    for partners of its own."""
-    names = ["hub", "token", "low", "high", "role", "_rk", "label"]
+    """(hub, token, low, high, role, at, _rk, label, f, size, total, n): the shingles by which a member meets partners of
+    each class of f, its own class and theirs in order, with their place in its difference; role 0 for the partner
+    of the lower class, 1 for that of the higher one, both for partners of its own."""
+    whole = ["hub", "_rk", "label", "f", "size", "total", "n"]
+    names = ["token", "low", "high", "role", "at", *whole]
     share = least / (1 + least)
 
     def place(f: float) -> int:
@@ -167,42 +169,69 @@ def _entries(rows: DataFrame, least: float) -> DataFrame:
     def run(batches):
         for b in parts(batches):
             at, out = [], []
-            columns = (b.column(c).to_pylist() for c in ("f", "size", "total", "n", "shared"))
-            for i, (f, size, total, n, shared) in enumerate(zip(*columns, strict=True)):
+            columns = (b.column(c).to_pylist() for c in ("f", "size", "total", "n", "shared", "least_f", "most_f"))
+            for i, (f, size, total, n, shared, least_f, most_f) in enumerate(zip(*columns, strict=True)):
                 if not shared:
                     continue
                 mine, alone = place(f), total - len(shared)
                 # a partner has least * n shingles or more, and no more of them in common than there are
-                for c in range(place(share * least * n), place(max(size + total - f, 1.0)) + 1):
+                for c in range(max(place(share * least * n), place(least_f)), min(place(size + total - f), place(most_f)) + 1):
                     need = max(1, math.ceil(f + (STEP**c if c else 0.0) - size - 1e-6))
                     tokens = shared[: max(0, total - need + 1 - alone)]
                     for role in (0, 1) if c == mine else (int(c < mine),):
                         at += [i] * len(tokens)
-                        out += [(t, min(c, mine), max(c, mine), role) for t in tokens]
-            token, low, high, role = (pa.array(x, k) for x, k in zip(zip(*out, strict=True) if out else [()] * 4, (pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True))
-            rows_at = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("hub").take(rows_at), token, low, high, role, b.column("_rk").take(rows_at), b.column("label").take(rows_at)], names)
+                        out += [(t, min(c, mine), max(c, mine), role, alone + p) for p, t in enumerate(tokens)]
+            kinds = [pa.int64(), *[pa.int32()] * 4]
+            own = [pa.array(x, k) for x, k in zip(zip(*out, strict=True) if out else [()] * 5, kinds, strict=True)]
+            places = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*own, *(b.column(c).take(places) for c in whole)], names)
 
     ship(rows.sparkSession)
-    schema = "hub binary, token bigint, low int, high int, role int, _rk binary, label binary"
-    return rows.select("hub", "f", "size", "total", "n", "shared", "_rk", "label").mapInArrow(run, schema)
+    schema = "token bigint, low int, high int, role int, at int, hub binary, _rk binary, label binary, f double, size int, total int, n int"
+    return rows.select(*whole, "shared", "least_f", "most_f").mapInArrow(run, schema)
+
+
+def _ranges(rows: DataFrame) -> DataFrame:
+    """(hub, main, and ranges of f) of the groups that aren't connected as a whole: main is the label that most members
+    have; theirs are partners among the rest, those of the rest anywhere."""
+    each = rows.groupBy("hub", "label").agg(F.count("*").alias("c"), F.min("f").alias("lo"), F.max("f").alias("hi"))
+    each = written(each, "label-ranges")
+    main = written(each.groupBy("hub").agg(F.max_by("label", "c").alias("main"), F.count("*").alias("labels")), "main-labels")
+    both = each.join(sized(main.where("labels > 1").drop("labels")), "hub")
+    other = F.col("label") != F.col("main")
+    found = both.groupBy("hub").agg(
+        F.any_value("main").alias("main"),
+        F.min(F.when(other, F.col("lo"))).alias("rest_lo"),
+        F.max(F.when(other, F.col("hi"))).alias("rest_hi"),
+        F.min("lo").alias("lo"),
+        F.max("hi").alias("hi"),
+    )
+    return written(found, "ranges")
 
 
 def _across(prefixes: DataFrame, sets: DataFrame, labels: DataFrame, least: float) -> DataFrame:
     """(u, v) between members of a group that aren't connected yet (labels: node, root). Where most of those that meet
-    are connected, only the others look for partners among them."""
+    are connected, only the others look for partners among them. A pair meets at the shingles that are early enough
+    in both differences for as many to follow as the two need."""
     sizes = sets.select("_rk", F.size("own").alias("n"))
     rows = prefixes.join(sizes, "_rk").join(labels.select(F.col("node").alias("_rk"), "root"), "_rk", "left")
-    rows = written(_entries(rows.withColumn("label", F.coalesce("root", "_rk")), least), "entries")
+    rows = written(rows.withColumn("label", F.coalesce("root", "_rk")).drop("root"), "labelled")
+    in_main = F.col("label") == F.col("main")
+    bounds = {"least_f": F.when(in_main, F.col("rest_lo")).otherwise(F.col("lo")), "most_f": F.when(in_main, F.col("rest_hi")).otherwise(F.col("hi"))}
+    rows = written(_entries(rows.join(sized(_ranges(rows)), "hub").withColumns(bounds), least), "entries")
     key = ["hub", "token", "low", "high"]
     by_label = rows.groupBy(*key, "label").agg(F.count("*").alias("n"))
     heads = by_label.groupBy(*key).agg(F.max_by("label", "n").alias("head"), F.count("*").alias("labels")).where("labels > 1")
     met = written(rows.join(written(heads.drop("labels"), "heads"), key), "meeting")
-    a = met.where("role = 0").select(*key, F.col("_rk").alias("u"), F.col("label").alias("a"), (F.col("label") == F.col("head")).alias("in_head"))
-    b = met.where("role = 1").select(*key, F.col("_rk").alias("v"), F.col("label").alias("b"), (F.col("label") == F.col("head")).alias("v_in_head"))
-    apart = F.col("a") != F.col("b")
-    outside = a.where("NOT in_head").join(b, key).where(apart).select("u", "v")
-    inside = a.where("in_head").join(b.where("NOT v_in_head"), key).where(apart).select("u", "v")
+    met = met.withColumn("in_head", F.col("label") == F.col("head"))
+    fields = ["label", "in_head", "f", "at", "total", "n"]
+    a = met.where("role = 0").select(*key, "size", F.col("_rk").alias("u"), *(F.col(c).alias(f"u_{c}") for c in fields))
+    b = met.where("role = 1").select(*key, F.col("_rk").alias("v"), *(F.col(c).alias(f"v_{c}") for c in fields))
+    need = F.greatest(F.lit(1), F.ceil(F.col("u_f") + F.col("v_f") - F.col("size") - 1e-6))
+    early = (F.col("u_at") <= F.col("u_total") - need) & (F.col("v_at") <= F.col("v_total") - need)
+    apart = (F.col("u_label") != F.col("v_label")) & early & (F.least("u_n", "v_n") >= least * F.greatest("u_n", "v_n"))
+    outside = a.where("NOT u_in_head").join(b, key).where(apart).select("u", "v")
+    inside = a.where("u_in_head").join(b.where("NOT v_in_head"), key).where(apart).select("u", "v")
     return written(_alike(_ordered(outside.union(inside)), sets, least), "across")
 
 
