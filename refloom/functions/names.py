@@ -107,10 +107,13 @@ def column_type_specification(data_type: Column, char_length: Column, precision:
     )
 
 
-def pretty_size(size: Column) -> Column:
-    """Bytes, then kB, MB, GB and TB, each from ten thousand of the one before, rounded."""
+UNITS = ("kB", "MB", "GB", "TB")
+
+
+def pretty_size(size: Column, largest: str = UNITS[-1]) -> Column:
+    """Bytes, then kB, MB, GB and TB up to the largest unit, each from ten thousand of the one before, rounded."""
     out = F.concat(size.cast("string"), F.lit(" bytes"))
-    for power, unit in enumerate(("kB", "MB", "GB", "TB"), 1):
+    for power, unit in enumerate(UNITS[: UNITS.index(largest) + 1], 1):
         value = F.round(size / F.lit(1024.0**power)).cast("long").cast("string")
         out = F.when(size >= 10 * 1024**power, F.concat(value, F.lit(f" {unit}"))).otherwise(out)
     return out

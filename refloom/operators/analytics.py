@@ -46,10 +46,11 @@ def statistics_as_of(inquiries: DataFrame, updates: DataFrame, key: str, hours:
     return both.select(key, "inquiry_id", F.col("at").alias("inquiry_time"), "last_update", F.coalesce(late, F.lit(True)).alias("is_outdated"))
 
 
-def size_rollup(sizes: DataFrame, partitions: DataFrame) -> DataFrame:
-    """(table_name, n_size, s_size): sizes with those of partitions (table_name, parent) added to their parents."""
+def size_rollup(sizes: DataFrame, partitions: DataFrame, largest: str = "TB") -> DataFrame:
+    """(table_name, n_size, s_size): sizes with those of partitions (table_name, parent) added to their parents; told
+    in units up to the largest."""
     up = sizes.join(partitions, "table_name", "left").select(F.coalesce("parent", "table_name").alias("table_name"), "size")
-    return up.groupBy("table_name").agg(F.sum("size").alias("n_size")).withColumn("s_size", pretty_size(F.col("n_size")))
+    return up.groupBy("table_name").agg(F.sum("size").alias("n_size")).withColumn("s_size", pretty_size(F.col("n_size"), largest))
 
 
 def schema_sizes(sizes: DataFrame) -> DataFrame:

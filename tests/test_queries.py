@@ -62,5 +62,22 @@ def test_same_as_sql_over_more_rows(spark, name):
     assert rows(found.columns, found.collect()) == rows(wanted.columns, wanted.fetchall())
 
 
+@pytest.fixture(scope="module")
+def far(spark, sf_dir, tmp_path_factory):
+    """Customers whose keys begin at 1e9, so that sums of them go beyond what is told in megabytes elsewhere."""
+    to = str(tmp_path_factory.mktemp("far"))
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    customer.withColumn("c_custkey", customer["c_custkey"] + 1_000_000_000).write.parquet(f"{to}/customer.parquet")
+    return to
+
+
+@pytest.mark.parametrize("name", ["ops_size_rollup"])
+def test_sizes_as_in_sql_beyond_gigabytes(spark, far, name):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW customer AS SELECT * FROM '{far}/customer.parquet/*.parquet'")
+    found, wanted = QUERIES[name](spark, far), con.sql(ORACLE[name])
+    assert rows(found.columns, found.collect()) == rows(wanted.columns, wanted.fetchall())
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).columns == ["month", "n", "revenue"]
