@@ -53,10 +53,10 @@ def size_rollup(sizes: DataFrame, partitions: DataFrame, largest: str = "TB") ->
     return up.groupBy("table_name").agg(F.sum("size").alias("n_size")).withColumn("s_size", pretty_size(F.col("n_size"), largest))
 
 
-def schema_sizes(sizes: DataFrame) -> DataFrame:
-    """(schema_name, sys_obj_type, n_total_relation_size, s_total_relation_size)."""
+def schema_sizes(sizes: DataFrame, largest: str = "TB") -> DataFrame:
+    """(schema_name, sys_obj_type, n_total_relation_size, s_total_relation_size), told in units up to the largest."""
     found = sizes.groupBy("schema_name", "sys_obj_type").agg(F.sum("n_total_relation_size").alias("n_total_relation_size"))
-    return found.withColumn("s_total_relation_size", pretty_size(F.col("n_total_relation_size")))
+    return found.withColumn("s_total_relation_size", pretty_size(F.col("n_total_relation_size"), largest))
 
 
 def undescribed(objects: DataFrame, columns: DataFrame) -> DataFrame:

@@ -71,7 +71,7 @@ def far(spark, sf_dir, tmp_path_factory):
     return to
 
 
-@pytest.mark.parametrize("name", ["ops_size_rollup"])
+@pytest.mark.parametrize("name", ["ops_schema_size", "ops_size_rollup"])
 def test_sizes_as_in_sql_beyond_gigabytes(spark, far, name):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW customer AS SELECT * FROM '{far}/customer.parquet/*.parquet'")
