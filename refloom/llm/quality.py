@@ -3,8 +3,9 @@
 Every word and every pair of neighbouring words of a text is hashed into one of BUCKETS buckets. Two
 multinomials over the buckets are estimated: the raw one from all texts, the target one from texts
 that labels trust. A text's score is the mean, over its n-grams, of the log ratio of the two; it is
-compared with one threshold, which labelled rows of both kinds fix. Everything is built from SQL
-functions; the counts are aggregated before they are shuffled, and the text isn't shuffled at all.
+compared with one threshold, which all labelled rows of both kinds fix. Everything is built from SQL
+functions; the counts are aggregated before they are shuffled. Texts are shuffled only where there are too
+many labels to be broadcast.
 """
 
 from __future__ import annotations
@@ -12,11 +13,12 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from refloom.llm.common import words_of
+from refloom.llm.common import sized, words_of
 from refloom.session import written
 
 #: Words of a window that counts as repeated if it is found again.
@@ -25,9 +27,6 @@ SYMBOLS = "[#*$%&|<>]"
 LEAST_WORDS, MOST_REPEATED = 20, 30
 #: Buckets of n-grams, a power of two. Their ratios, one row, are all that every task gets of the corpus.
 BUCKETS = 1 << 16
-#: Labelled rows read at most: trusted ones for the target, and of either label for the threshold. Those
-#: with the smallest hashes of their id are taken.
-TARGET_ROWS, FIT_ROWS = 50_000, 5_000
 #: Rejecting a trusted row is as bad as keeping so many rejected ones.
 GOOD_WEIGHT = 4.0
 #: Added to every bucket's count, in shares of the mean count.
@@ -139,29 +138,19 @@ class Ratio:
         return docs.withColumn("_ratios", self.weights.scalar()).withColumn("score", score).drop("_ratios")
 
 
-def fit(
-    docs: DataFrame,
-    labels: DataFrame,
-    id: str = "doc_id",
-    text: str = "text",
-    label: str = "quality",
-    target_rows: int = TARGET_ROWS,
-    fit_rows: int = FIT_ROWS,
-) -> Ratio:
-    """Log ratios of the trusted rows (label 1) of labels against all rows of docs, and the threshold.
+def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality") -> Ratio:
+    """Log ratios of all trusted rows (label 1) of labels against all rows of docs, and the threshold of all labelled ones.
 
     Labels with a null id or label are left out; of repeated ids the smallest label counts. Without
     trusted rows every ratio is zero; without rows of both labels nothing is rejected.
     """
     known = labels.where(F.col(id).isNotNull() & F.col(label).isin(0, 1)).groupBy(id).agg(F.min(label).cast("int").alias("_y"))
-    order = F.xxhash64(id)
-    good, bad = (known.where(F.col("_y") == y).orderBy(order, id).limit(n) for y, n in ((1, target_rows), (0, fit_rows)))
-    taken = written(good.union(bad), "labelled")  # target_rows + fit_rows at most, so it can be broadcast
-    words = docs.select(id, F.transform(words_of(F.col(text)), lambda w: F.xxhash64(w)).alias("_hashes"))
-    trusted = taken.where("_y = 1")
+    known = written(known, "labelled")
+    texts = docs.select(id, F.col(text).alias("_text"))
+    hashes = F.transform(words_of(F.col("_text")), lambda w: F.xxhash64(w))  # after the join: they are longer than the text
     counts = (
-        words.join(F.broadcast(trusted), id, "left")
-        .select((F.col("_y") == 1).alias("good"), F.explode(_grams(F.col("_hashes"))).alias("bucket"))
+        texts.join(sized(known.where("_y = 1")), id, "left")
+        .select((F.col("_y") == 1).alias("good"), F.explode(_grams(hashes)).alias("bucket"))
         .groupBy("bucket")
         .agg(F.count("*").alias("raw"), F.count_if("good").alias("target"))
     )
@@ -170,11 +159,10 @@ def fit(
     if ratio.weights is None:
         return ratio
 
-    few = taken.where("_y = 0").union(trusted.orderBy(order, id).limit(fit_rows))
-    seen = with_base_counts(docs.select(id, text).join(F.broadcast(few), id), text)
-    # failed rows are left out here: a filter would be pushed below the join, and every text counted
-    points = ratio.scored(seen).select("score", "_y", "base_failed").dropDuplicates().collect()  # as few as above
-    ratio.threshold = _threshold([(x, y) for x, y, failed in points if not failed])
+    seen = with_base_counts(texts.join(sized(known), id), "_text")
+    # failed rows are left out once they are written: a filter would be pushed below the join, and every text counted
+    points = written(ratio.scored(seen).select("score", "_y", "base_failed").distinct(), "points")
+    ratio.threshold = _threshold(points.where("NOT base_failed"))
     return ratio
 
 
@@ -194,18 +182,29 @@ def _log_ratios(counts: DataFrame) -> DataFrame | None:
     return written(every.agg(F.transform(ordered, lambda x: x["w"]).alias("w")), "ratios")
 
 
-def _threshold(points: list[tuple[float, int]]) -> float:
-    """The place between two scores with the least loss, the lowest of equals."""
-    good, bad = sum(y for _, y in points), sum(1 - y for _, y in points)
+def _threshold(points: DataFrame) -> float:
+    """The place between two scores with the least loss, the lowest of equals. points: distinct (score, _y). Scores are
+    dealt out by ranges and counted within each; the counts of the ranges before are added (one row a range reaches
+    the driver)."""
+    good, bad = points.agg(F.count_if(F.col("_y") == 1), F.count_if(F.col("_y") == 0)).first()
     if not good or not bad:
         return -math.inf
-    points = sorted(points)
-    loss, best, at = 1.0, 1.0, -math.inf
-    for (x, y), (following, _) in zip(points, points[1:], strict=False):
-        loss += GOOD_WEIGHT / good if y else -1.0 / bad
-        if loss < best - 1e-12 and following > x:
-            best, at = loss, (x + following) / 2
-    return at
+    each = points.groupBy("score").agg(F.count_if(F.col("_y") == 1).alias("good"), F.count_if(F.col("_y") == 0).alias("bad"))
+    dealt = written(each.repartitionByRange("score").withColumn("_part", F.spark_partition_id()), "scores")
+    sums = sorted(dealt.groupBy("_part").agg(F.sum("good"), F.sum("bad")).collect())
+    before = accumulate(((g, b) for _, g, b in sums), lambda x, y: (x[0] + y[0], x[1] + y[1]), initial=(0, 0))
+    shifts = [(part, *counts) for (part, *_), counts in zip(sums, before, strict=False)]
+    shift = F.broadcast(points.sparkSession.createDataFrame(shifts, "_part int, _good long, _bad long"))
+    below = Window.partitionBy("_part").orderBy("score")
+    cut = dealt.select("_part", "score", F.sum("good").over(below).alias("good"), F.sum("bad").over(below).alias("bad")).join(shift, "_part")
+    # what cutting above a score saves; rounded, so that equals are equal
+    saved = F.round((F.col("bad") + F.col("_bad")) / bad - GOOD_WEIGHT * (F.col("good") + F.col("_good")) / good, 12)
+    best, at = cut.agg(F.max(F.struct(saved.alias("saved"), (-F.col("score")).alias("score"))).alias("best")).select("best.*").first()
+    if best <= 0:
+        return -math.inf
+    at = -at
+    following = dealt.where(F.col("score") > at).agg(F.min("score")).first()[0]
+    return (at + following) / 2
 
 
 def judged(docs: DataFrame, ratio: Ratio, text: str = "text") -> DataFrame:

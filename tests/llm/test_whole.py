@@ -3,7 +3,9 @@
 import random
 import string
 
-from refloom.llm import common, components, decontam, secrets, similar, simhash, substrings, toxicity, urls, warc
+from pyspark.sql import functions as F
+
+from refloom.llm import common, components, decontam, quality, secrets, similar, simhash, substrings, toxicity, urls, warc
 from tests.llm import brute
 
 
@@ -166,3 +168,32 @@ def test_passing_tables_go(spark):
     with passing(spark):
         assert written(spark.range(3), "inside").count() == 3 and listed() > before
     assert listed() == before
+
+
+def test_quality_is_fitted_on_all_labels(spark):
+    """The last of 5,400 rejected rows, in the order of their ids' hashes, are unlike all others."""
+    ids = [r["id"] for r in spark.range(1, 5401).orderBy(F.xxhash64("id"), "id").collect()]
+    good, bad = ([f"{c}{i}" for i in range(40)] for c in "gb")
+    low, middle, high = " ".join(bad), " ".join(good[:30] + bad[:10]), " ".join(good)
+    docs = [(i, low if n < 5000 else middle, 0) for n, i in enumerate(ids)] + [(i, high, 1) for i in range(6000, 6400)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string, quality int")
+    ratio = quality.fit(rows.select("doc_id", "text"), rows.select("doc_id", "quality"))
+    kept = {r["text"] for r in quality.judged(rows, ratio).where("kept").select("text").collect()}
+    expected = {t for (_, t, _), (_, _, k, _) in zip(docs, brute.quality([d[:2] for d in docs], [d[::2] for d in docs]), strict=True) if k}
+    assert kept == expected == {high}
+
+
+def test_threshold_of_many_scores(spark):
+    rng = random.Random(5)
+    points = [(round(rng.gauss(y, 1), 3), y) for y in (0, 1) for _ in range(3000)]
+    found = quality._threshold(spark.createDataFrame(points, "score double, _y int").distinct().repartition(7))
+    points = sorted(set(points))
+    good, bad = sum(y for _, y in points), sum(1 - y for _, y in points)
+    best, saved, at = 0, 0, None  # whole numbers, so that equals are equal
+    for (x, y), (following, _) in zip(points, points[1:], strict=False):
+        saved += -4 * bad if y else good
+        if following > x and saved > best:
+            best, at = saved, (x + following) / 2
+    assert found == at
+    assert quality._threshold(spark.createDataFrame([(1.0, 1)], "score double, _y int")) == float("-inf")
+    assert quality._threshold(spark.createDataFrame([(1.0, 0), (0.5, 1)], "score double, _y int")) == float("-inf")
