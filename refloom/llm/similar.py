@@ -26,7 +26,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from refloom.llm.common import BROADCAST_BYTES, parts, sized, with_row_key, without
@@ -122,18 +122,40 @@ def _groups(met: DataFrame) -> DataFrame:
     return written(many.join(sized(hubs), ["band", "key"]).select("hub", "_rk").distinct(), "groups")
 
 
+def _apart(members: DataFrame, hubs: DataFrame) -> DataFrame:
+    """(hub, token, inside, n) of the shingles by which members (hub, _rk, own) differ from the set of their hub (hubs:
+    hub, whole): whether the hub has it, and how many members differ by it. What all have alike is never listed."""
+
+    def marked(shingles: Column, inside: bool) -> Column:
+        return F.transform(shingles, lambda x: F.struct(x.alias("token"), F.lit(inside).alias("inside")))
+
+    lost, gained = F.array_except("whole", "own"), F.array_except("own", "whole")
+    told = members.join(_few(hubs, "whole"), "hub").select("hub", "_rk", F.concat(marked(lost, True), marked(gained, False)).alias("apart"))
+    # dealt by member, as a file may hold many of one group
+    listed = told.repartition("hub", "_rk").select("hub", F.inline("apart"))
+    return listed.groupBy("hub", "token", "inside").agg(F.count("*").alias("n"))
+
+
 def _differences(groups: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """(hub, _rk, f, size, total, shared): of every member of a group f, the size of the group's reference and of its
-    own difference, and those shingles of it that another member's difference has as well, the rarest first."""
+    own difference, and those shingles of it that another member's difference has as well, the rarest first.
+    How many members have a shingle is counted by their differences from the hub, a member itself."""
     own = written(groups.join(sets.select("_rk", "own"), "_rk"), "members")
-    each = own.select("hub", F.explode("own").alias("token")).groupBy("hub", "token").agg(F.count("*").alias("n"))
+    hubs = groups.select("hub").distinct().join(sets.select(F.col("_rk").alias("hub"), F.col("own").alias("whole")), "hub")
+    hubs = written(hubs, "hub-sets")
     members = written(groups.groupBy("hub").agg(F.count("*").alias("members")), "counts")
+    n = F.when(F.col("inside"), F.col("members") - F.col("n")).otherwise(F.col("n"))
     # what one member has alone is in no reference, as groups have more than MOST_PAIRED, and shared with none
-    each = written(each.where("n > 1").join(sized(members), "hub"), "tokens")
+    each = written(_apart(own, hubs).join(sized(members), "hub").withColumn("n", n).where("n > 1 OR inside"), "tokens")
     most = 2 * F.col("n") > F.col("members")
-    reference = written(each.where(most).groupBy("hub").agg(F.collect_list("token").alias("reference")), "references")
-    told = own.join(sized(members), "hub").join(_few(reference), "hub", "left")
-    whole = F.coalesce("reference", F.array().cast("array<bigint>"))
+    turned = each.where(F.col("inside") != most).groupBy("hub").agg(
+        F.collect_list(F.when(F.col("inside"), F.col("token"))).alias("less"), F.collect_list(F.when(~F.col("inside"), F.col("token"))).alias("more")
+    )
+    none = F.array().cast("array<bigint>")
+    whole = F.concat(F.array_except("whole", F.coalesce("less", none)), F.coalesce("more", none))
+    reference = written(hubs.join(turned, "hub", "left").select("hub", whole.alias("reference")), "references")
+    told = own.join(_few(reference, "reference"), "hub")
+    whole = F.col("reference")
     missing, extra = F.array_except(whole, F.col("own")), F.array_except(F.col("own"), whole)
     told = told.withColumns({"missing": missing, "extra": extra})
     f = least / (1 + least) * F.size("own") + F.size("missing")
@@ -149,9 +171,9 @@ def _differences(groups: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return written(found.join(written(listed, "listed"), ["hub", "_rk"], "left"), "prefixes")
 
 
-def _few(side: DataFrame) -> DataFrame:
+def _few(side: DataFrame, shingles: str) -> DataFrame:
     """A side with lists of shingles, with a broadcast hint if it is small."""
-    n = side.agg(F.sum(F.size("reference"))).first()[0] or 0
+    n = side.agg(F.sum(F.size(shingles))).first()[0] or 0
     return F.broadcast(side) if 8 * n <= BROADCAST_BYTES else side
 
 

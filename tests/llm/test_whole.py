@@ -2,6 +2,7 @@
 
 import random
 import string
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -197,3 +198,26 @@ def test_threshold_of_many_scores(spark):
     assert found == at
     assert quality._threshold(spark.createDataFrame([(1.0, 1)], "score double, _y int")) == float("-inf")
     assert quality._threshold(spark.createDataFrame([(1.0, 0), (0.5, 1)], "score double, _y int")) == float("-inf")
+
+
+def test_differences_of_a_group_from_its_hub(spark):
+    """The reference is what most members have, whichever of them is the hub; only differences are listed."""
+    rng = random.Random(6)
+    common = [rng.getrandbits(62) for _ in range(300)]
+    texts = [set(common) - set(rng.sample(common, 10)) | {*rng.sample(range(20), 5), 1000 + i} for i in range(60)]
+    keys = [i.to_bytes(2) for i in range(60)]
+    sets = spark.createDataFrame([(bytearray(k), sorted(x)) for k, x in zip(keys, texts, strict=True)], "_rk binary, own array<bigint>")
+    groups = spark.createDataFrame([(bytearray(keys[7]), bytearray(k)) for k in keys], "hub binary, _rk binary")
+    hubs = sets.where(F.col("_rk") == F.lit(keys[7])).select(F.col("_rk").alias("hub"), F.col("own").alias("whole"))
+    listed = similar._apart(groups.join(sets, "_rk"), hubs).agg(F.sum("n")).first()[0]
+    assert listed == sum(len(x ^ texts[7]) for x in texts) < sum(map(len, texts)) / 4
+    count = Counter(t for x in texts for t in x)
+    reference = {t for t, n in count.items() if 2 * n > 60}
+    rare = Counter(t for x in texts for t in x ^ reference)
+    found = {bytes(r["_rk"]): r for r in similar._differences(groups, sets, 0.8).collect()}
+    assert len(found) == 60
+    for k, x in zip(keys, texts, strict=True):
+        r, apart = found[k], x ^ reference
+        assert (r["size"], r["total"]) == (len(reference), len(apart))
+        assert abs(r["f"] - (0.8 / 1.8 * len(x) + len(reference - x))) < 1e-9
+        assert r["shared"] == sorted((t for t in apart if rare[t] > 1), key=lambda t: (rare[t], t))
