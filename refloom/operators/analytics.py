@@ -89,14 +89,29 @@ def inquired_masters(views: DataFrame, edges: DataFrame, most_levels: int = 2) -
     return found.select(F.col("root").alias("view_id"), F.col("node").alias("master_id"), (-F.col("level")).cast("int").alias("level"))
 
 
+#: Parts among which those that wait for one target are dealt; its holders go to each part.
+LOCK_PARTS = 32
+
+
 def blocked_activity(locks: DataFrame) -> DataFrame:
-    """(pid, blocking_pid): who waits for whom: the same lock target, nulls equal to nulls, held by another."""
-    target = ("locktype", "database", "relation", "page")
-    wait, hold = locks.where("NOT granted").alias("w"), locks.where("granted").alias("h")
-    same = F.col("w.pid") != F.col("h.pid")
-    for c in target:
-        same = same & F.col(f"w.{c}").eqNullSafe(F.col(f"h.{c}"))
-    return wait.join(hold, same).select(F.col("w.pid").alias("pid"), F.col("h.pid").alias("blocking_pid")).distinct()
+    """(pid, blocking_pid): who waits for whom: the same lock target, nulls equal to nulls, held by another. There
+    are as many rows as such pairs, however many share a target. Two meet again only if either has several
+    targets; other pairs are told as they are found, without being shuffled."""
+    n = int(locks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    target = F.struct("locktype", "database", "relation", "page")  # fields of a struct are equal if both are null
+    several = (F.count("*").over(Window.partitionBy("pid")) > 1).alias("several")
+
+    def side(rows: DataFrame, part: Column) -> DataFrame:
+        own = rows.select("pid", target.alias("target")).distinct().select("pid", "target", several)
+        return own.withColumn("part", part).repartition(n, "target", "part")  # so many, as pairs are far more than rows
+
+    w = side(locks.where("NOT granted"), F.pmod(F.xxhash64("pid"), F.lit(LOCK_PARTS)).cast("int")).withColumnRenamed("several", "waits")
+    h = side(locks.where("granted"), F.explode(F.sequence(F.lit(0), F.lit(LOCK_PARTS - 1)))).withColumnsRenamed({"pid": "blocking_pid", "several": "holds"})
+
+    def met(w: DataFrame, h: DataFrame, which: str) -> DataFrame:
+        return w.join(h, ["target", "part"]).where(f"pid != blocking_pid AND {which}").select("pid", "blocking_pid")
+
+    return met(w, h, "NOT (waits AND holds)").union(met(w.where("waits"), h.where("holds"), "true").distinct())
 
 
 def maintenance_mode(locks: DataFrame, views: DataFrame, now: Column) -> DataFrame:

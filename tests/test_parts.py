@@ -77,6 +77,25 @@ def test_numbered(spark):
     assert [n for _, n in got] == list(range(5, 205))
 
 
+def test_blocked_activity_of_several_targets(spark):
+    rng = random.Random(4)
+    draw = lambda *own: rng.choice(own)
+    rows = [(draw(None, *range(40)), draw("a", "b", None), draw(1, 2), draw(1, None), draw(1, None), draw(True, False, False, None)) for _ in range(600)]
+    found = analytics.blocked_activity(spark.createDataFrame(rows, "pid int, locktype string, database int, relation int, page int, granted boolean")).collect()
+    wait, hold = ([r for r in rows if r[5] is g and r[0] is not None] for g in (False, True))
+    pairs = sorted({(w[0], h[0]) for w in wait for h in hold if w[1:5] == h[1:5] and w[0] != h[0]})
+    assert sorted((r["pid"], r["blocking_pid"]) for r in found) == pairs
+
+
+def test_blocked_activity_is_dealt(spark):
+    """The pairs of a single target are made by several tasks, and not all pairs are gathered to find equal ones."""
+    locks = spark.range(400).selectExpr("id AS pid", "'x' AS locktype", "1 AS database", "CAST(NULL AS INT) AS relation", "1 AS page", "id % 10 = 0 AS granted")
+    found = analytics.blocked_activity(locks)
+    assert not found._jdf.queryExecution().optimizedPlan().toString().startswith("Aggregate")
+    made = found.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in made) == 360 * 40 and len(made) > 2
+
+
 def test_catalog(spark):
     c = catalog.Catalog([catalog.EntityType("a", parent="directory"), catalog.EntityType("b", [catalog.Attribute("a_id", "a")], master="a", temporal=True, parent="entity")])
     own = {x.name: x for x in c.attributes("a")}
