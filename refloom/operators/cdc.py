@@ -8,12 +8,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def diff_snapshots(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
-    """(key, operation, old, new): I, U or D for every row that was added, changed or removed."""
+#: Rows of a key's table in one task: what its joins sort at once then doesn't grow with the table.
+TASK_ROWS = 200_000
+
+
+def dealt(df: DataFrame, key: list[str], rows: int) -> DataFrame:
+    """df dealt by its key for a table of so many rows, TASK_ROWS to a task. Joins and windows by the key that follow keep
+    it; without it they have as many tasks for any number of rows. Tables of few tasks stay as they are."""
+    n = -(-rows // TASK_ROWS)
+    return df.repartition(n, *key) if n > df.sparkSession.sparkContext.defaultParallelism else df
+
+
+def diff_snapshots(before: DataFrame, after: DataFrame, key: list[str], rows: int = 0) -> DataFrame:
+    """(key, operation, old, new): I, U or D for every row that was added, changed or removed. rows: about how many
+    the larger state has, so that its tasks don't grow with it."""
     rest = [c for c in before.columns if c not in key]
     old = before.select(*key, F.struct(*rest).alias("old"))
     new = after.select(*key, F.struct(*rest).alias("new"))
-    both = old.join(new, key, "full_outer")
+    both = dealt(old, key, rows).join(dealt(new, key, rows), key, "full_outer")
     operation = F.when(F.col("old").isNull(), "I").when(F.col("new").isNull(), "D").when(~F.col("old").eqNullSafe(F.col("new")), "U")
     return both.withColumn("operation", operation).where(F.col("operation").isNotNull())
 

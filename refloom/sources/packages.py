@@ -130,7 +130,7 @@ class Engine:
         if own.logged:
             key = ["id", "version"] if own.temporal else ["id"]
             logged = [f.name for f in self.catalog.schema(p.type, "log")][3:]
-            log = cdc.audit_log(cdc.diff_snapshots(target, after, key), logged, key, now, f"package {p.id}")
+            log = cdc.audit_log(cdc.diff_snapshots(target, after, key, max(target.count(), after.count())), logged, key, now, f"package {p.id}")
             out[f"{p.type}_log"] = self.store.written(f"{p.type}_log", self._current(f"{p.type}_log", log.schema).unionByName(log))
         told = self.spark.createDataFrame([(t, run_ts, p.id) for t in out if not t.endswith("_log")], UPDATES)
         out[STATISTICS] = self.store.written(STATISTICS, self._current(STATISTICS, UPDATES).unionByName(told).coalesce(1))

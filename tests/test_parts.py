@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from refloom.functions import names
-from refloom.operators import analytics, evolve, matview, merge
+from refloom.operators import analytics, cdc, evolve, matview, merge
 from refloom.operators.numbering import numbered
 from refloom.plans import catalog, graph, scheduler
 from refloom.sources.packages import STATISTICS, Engine, state_counts
@@ -96,6 +96,19 @@ def test_blocked_activity_is_dealt(spark):
     assert sum(r["count"] for r in made) == 360 * 40 and len(made) > 2
 
 
+def test_changes_of_a_large_table_are_dealt_by_its_rows(spark, monkeypatch):
+    """Twice the rows have twice the tasks, with the same changes; an unchanged row is told in neither."""
+    monkeypatch.setattr(cdc, "TASK_ROWS", 50)
+    for n in (1000, 2000):
+        before = spark.range(n).withColumn("x", F.col("id") % 7)
+        after = spark.range(10, n + 10).withColumn("x", F.when(F.col("id") % 100 != 0, F.col("id") % 7))
+        changes = cdc.diff_snapshots(before, after, ["id"], n)
+        assert changes.rdd.getNumPartitions() == n // 50
+        found = {r["operation"]: r["count"] for r in changes.groupBy("operation").count().collect()}
+        assert found == {"D": 10, "I": 10, "U": n // 100 - 1}
+    assert cdc.dealt(before, ["id"], 100) is before
+
+
 def test_catalog(spark):
     c = catalog.Catalog([catalog.EntityType("a", parent="directory"), catalog.EntityType("b", [catalog.Attribute("a_id", "a")], master="a", temporal=True, parent="entity")])
     own = {x.name: x for x in c.attributes("a")}
