@@ -79,5 +79,13 @@ def test_sizes_as_in_sql_beyond_gigabytes(spark, far, name):
     assert rows(found.columns, found.collect()) == rows(wanted.columns, wanted.fetchall())
 
 
+@pytest.mark.parametrize("name", ["cdc_invalid_chunks", "view_chunk_invalidation"])
+def test_chunks_as_in_sql_where_changes_are_dealt(spark, sf_dir, duck, monkeypatch, name):
+    monkeypatch.setattr("refloom.operators.cdc.TASK_ROWS", 100)
+    found, wanted = QUERIES[name](spark, sf_dir), duck.sql(ORACLE[name])
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+    assert rows(found.columns, found.collect()) == rows(wanted.columns, wanted.fetchall())
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).columns == ["month", "n", "revenue"]
