@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,17 +21,18 @@ def diff_snapshots(before: DataFrame, after: DataFrame, key: list[str], rows: in
     """(key, operation, old, new): I, U or D for every row that was added, changed or removed. rows: about how many
     the larger state has, so that its tasks don't grow with it."""
     rest = [c for c in before.columns if c not in key]
-    old = before.select(*key, F.struct(*rest).alias("old"))
-    new = after.select(*key, F.struct(*rest).alias("new"))
-    both = dealt(old, key, rows).join(dealt(new, key, rows), key, "full_outer")
+    # dealt as they are: a state that is dealt elsewhere too is then dealt once for both
+    old = dealt(before, key, rows).select(*key, F.struct(*rest).alias("old"))
+    new = dealt(after, key, rows).select(*key, F.struct(*rest).alias("new"))
+    both = old.join(new, key, "full_outer")
     operation = F.when(F.col("old").isNull(), "I").when(F.col("new").isNull(), "D").when(~F.col("old").eqNullSafe(F.col("new")), "U")
     return both.withColumn("operation", operation).where(F.col("operation").isNotNull())
 
 
 def images(changes: DataFrame, key: list[str], sides: tuple[str, ...] = ("old", "new")) -> DataFrame:
     """The old and new images of changes as rows (operation, key, attributes)."""
-    each = (changes.where(F.col(s).isNotNull()).select("operation", *key, f"{s}.*") for s in sides)
-    return reduce(DataFrame.unionByName, each)
+    each = changes.select("operation", *key, F.explode(F.array_compact(F.array(*sides))).alias("image"))
+    return each.select("operation", *key, "image.*")
 
 
 def audit_log(changes: DataFrame, logged: list[str], key: list[str], run_ts: Column, context: str) -> DataFrame:

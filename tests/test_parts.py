@@ -109,6 +109,20 @@ def test_changes_of_a_large_table_are_dealt_by_its_rows(spark, monkeypatch):
     assert cdc.dealt(before, ["id"], 100) is before
 
 
+def test_images_are_told_in_one_pass_over_states_dealt_as_they_are(spark, monkeypatch):
+    """The states are compared once for both images, and what is shuffled are their rows, not structs of them."""
+    monkeypatch.setattr(cdc, "TASK_ROWS", 50)
+    before = spark.createDataFrame([(1, "a"), (2, None), (3, "c"), (4, None)], "id int, x string")
+    after = spark.createDataFrame([(2, None), (3, "d"), (4, "e"), (5, None)], "id int, x string")
+    found = cdc.images(cdc.diff_snapshots(before, after, ["id"], 1000), ["id"])
+    assert found.columns == ["operation", "id", "x"]
+    rows = [("D", 1, "a"), ("I", 5, None), ("U", 3, "c"), ("U", 3, "d"), ("U", 4, None), ("U", 4, "e")]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(rows, key=str)
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    dealt = [below for line, below in zip(plan, plan[1:], strict=False) if "RepartitionByExpression" in line]
+    assert len(dealt) == 2 and not any("struct(" in below for below in dealt)
+
+
 def test_catalog(spark):
     c = catalog.Catalog([catalog.EntityType("a", parent="directory"), catalog.EntityType("b", [catalog.Attribute("a_id", "a")], master="a", temporal=True, parent="entity")])
     own = {x.name: x for x in c.attributes("a")}
